@@ -98,13 +98,12 @@ def channel_distance(a: Column, b: Column) -> Column:
 def sortable_scientific(value: Column) -> Column:
     """``m.mmmE±eee`` text of a number; zero is ``0.000E+000``.
 
-    The C-style exponent format does the rounding carry (9.9996 becomes 1.000 with the next
-    exponent); only the exponent is widened to three digits.
+    The number format rounds the exact binary value and carries into the exponent
+    (9.9996 becomes 1.000 with the next exponent); only a plus sign is added.
     """
-    text = F.format_string("%.3e", value.cast("double"))
-    mantissa = F.substring_index(text, "e", 1)
-    sign = F.substring(F.substring_index(text, "e", -1), 1, 1)
-    digits = F.regexp_replace(F.substring_index(text, "e", -1), "^[+-]", "")
+    text = F.call_function("format_number", value.cast("double"), F.lit("0.000E000"))
+    exponent = F.substring_index(text, "E", -1)
+    sign = F.when(exponent.startswith("-"), F.lit("")).otherwise(F.lit("+"))
     return F.when(value == 0.0, F.lit("0.000E+000")).otherwise(
-        F.concat(mantissa, F.lit("E"), sign, F.lpad(digits, 3, "0"))
+        F.concat(F.substring_index(text, "E", 1), F.lit("E"), sign, exponent)
     )

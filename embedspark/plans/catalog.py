@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from embedspark.plans import color, color_qa, text, vectors  # noqa: F401
+from embedspark.plans import color, color_qa, latency, text, vectors  # noqa: F401
 from embedspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -163,7 +163,7 @@ def hex_parse(spark, sf_dir):
 
 @query(
     "d8_sortable_scientific",
-    """WITH v AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 0e0 ELSE value * pow(10e0, event_id % 9 - 6) END AS x FROM events),
+    """WITH v AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 0e0 ELSE value / pow(10e0, event_id % 9) END AS x FROM events),
 t AS (SELECT event_id, x, printf('%.3e', x) AS f FROM v)
 SELECT event_id, CASE WHEN x = 0 THEN '0.000E+000' ELSE split_part(f, 'e', 1) || 'E' || substr(split_part(f, 'e', 2), 1, 1)
   || lpad(substr(split_part(f, 'e', 2), 2), 3, '0') END AS text FROM t""",
@@ -171,7 +171,7 @@ SELECT event_id, CASE WHEN x = 0 THEN '0.000E+000' ELSE split_part(f, 'e', 1) ||
 def sortable_scientific(spark, sf_dir):
     event = F.col("event_id")
     value = F.when(event % 50 == 0, F.lit(0.0)).otherwise(
-        F.col("value") * F.pow(F.lit(10.0), (event % 9 - 6).cast("double"))
+        F.col("value") / F.pow(F.lit(10.0), (event % 9).cast("double"))
     )
     return table(spark, sf_dir, "events").select(
         "event_id", fn.sortable_scientific(value).alias("text")

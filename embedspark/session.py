@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -35,3 +35,14 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return tempfile.mkdtemp(prefix="embedspark-", dir="/tmp")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back.
+
+    Cuts the lineage so that a lost executor repeats little, and gives Spark the true size of the
+    table: joins with it broadcast only if it really is small.
+    """
+    folder = shared_folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(f"{folder}/table")
+    return df.sparkSession.read.parquet(f"{folder}/table")

@@ -60,7 +60,7 @@ def _search_partition(block, k, digits):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q = block.value
         best = None
-        for batch in batches:
+        for batch in batches if len(q_ids) else ():
             for first in range(0, batch.num_rows, _CORPUS_ROWS):
                 part = batch.slice(first, _CORPUS_ROWS)
                 c_ids = part.column(0).to_numpy(zero_copy_only=False)

@@ -44,3 +44,12 @@ def float_lists(rows: list[np.ndarray | None] | np.ndarray) -> pa.Array:
     values = np.concatenate(present) if present else np.zeros(0, "f4")
     mask = pa.array([row is None for row in rows])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=mask)
+
+
+def once_per_row(function):
+    """Keeps the optimizer from running a costly function twice for one row.
+
+    Exploding or filtering its result would otherwise copy the call into an inferred filter, often
+    below a repartition. The price is that filters do not move below it: filter first.
+    """
+    return function.asNondeterministic()

@@ -60,20 +60,33 @@ def _axis_weights(size: int, new_size: int, kernel: str) -> np.ndarray:
     return out / out.sum(axis=1, keepdims=True)
 
 
+def resize_planes(
+    planes: np.ndarray, new_w: int, new_h: int, kernel: str, box: tuple[int, int, int, int] | None = None
+) -> np.ndarray:
+    """(c, h, w) samples resized to (c, new_h, new_w), not rounded.
+
+    With a box (left, top, width, height) only that part of the result is computed.
+    """
+    _, h, w = planes.shape
+    left, top, out_w, out_h = box or (0, 0, new_w, new_h)
+    planes = planes.astype("f8")
+    if (w, h) == (new_w, new_h):
+        return planes[:, top : top + out_h, left : left + out_w]
+    down = weights(h, new_h, kernel)[top : top + out_h]
+    across = weights(w, new_w, kernel)[left : left + out_w]
+    return np.matmul(np.matmul(down, planes), across.T)
+
+
 def resize(pixels: np.ndarray, new_w: int, new_h: int, kernel: str) -> np.ndarray:
     """(h, w, c) samples resized to (new_h, new_w, c), not rounded."""
-    h, w, channels = pixels.shape
-    if (w, h) == (new_w, new_h):
-        return pixels.astype("f8")
-    rows = np.tensordot(weights(h, new_h, kernel), pixels.astype("f8"), axes=(1, 0))
-    out = np.tensordot(weights(w, new_w, kernel), rows, axes=(1, 1))
-    return out.transpose(1, 0, 2).reshape(new_h, new_w, channels)
+    return resize_planes(pixels.transpose(2, 0, 1), new_w, new_h, kernel).transpose(1, 2, 0)
 
 
 def to_bytes(samples: np.ndarray) -> np.ndarray:
     """Samples rounded half up and clamped to 0..255.
 
-    Sums may differ in their last bits between machines; the inner rounding keeps exact halves (common
-    in smooth pictures) on one side everywhere.
+    Sums may differ in their last bits between machines; the small addition keeps exact halves
+    (common in smooth pictures) on the upper side everywhere.
     """
-    return np.clip(np.floor(np.round(samples, 6) + 0.5), 0, 255).astype(np.uint8)
+    rounded = np.floor(samples + (0.5 + 1e-9))
+    return np.clip(rounded, 0, 255, out=rounded).astype(np.uint8)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from embedspark.constants import DEFAULT_DIM, SPECIAL_TOKENS, ZERO_NORM
-from embedspark.functions.arrow import blocks, float_lists, list_lengths
+from embedspark.functions.arrow import blocks, float_lists, list_lengths, once_per_row
 from embedspark.functions.text import signed_slots, token_count, tokens
 
 _ROWS_PER_BLOCK = 2048
@@ -42,7 +42,7 @@ def _hashed_vectors(width: int, dim: int, normalize: bool):
             parts.append((unit_rows(pooled) if normalize else pooled)[:, :dim])
         return float_lists(np.concatenate(parts))
 
-    return encode
+    return once_per_row(encode)
 
 
 class HashingTextEncoder:
@@ -125,7 +125,7 @@ class OnnxTextEncoder:
                     [pa.array(counts, pa.int32()), float_lists(rows)], names=["tokens", "embedding"]
                 )
 
-        return run(text)
+        return once_per_row(run)(text)
 
 
 def _pooled_by_shape(width: int):

@@ -22,13 +22,15 @@ from embedspark.constants import (
     IMAGENET_STD,
     THUMBNAIL_SIZE,
 )
-from embedspark.functions.arrow import float_lists
+from embedspark.functions.arrow import float_lists, once_per_row
 from embedspark.functions.payload import BAD_REQUEST, OK, status
-from embedspark.functions.resample import FILTER_NUMBERS, resize, to_bytes
+from embedspark.functions.resample import FILTER_NUMBERS, resize, resize_planes, to_bytes
 from embedspark.operators.color import thumbnail_size
 from embedspark.operators.encoders import unit_rows
 from embedspark.operators.text import assemble_batches
 
+_IMAGES_PER_BATCH = 64
+
 PIXELS = T.StructType(
     [
         T.StructField("w", T.LongType()),
@@ -180,30 +182,32 @@ def rgb_view(data: bytes, w: int, h: int, channels: int) -> np.ndarray:
 
 
 def preprocessed(pixels: np.ndarray, config: Preprocess) -> np.ndarray:
-    """Channel-first float tensor of one picture."""
-    if config.do_convert_rgb:
-        pixels = pixels[:, :, :3]
+    """Channel-first float tensor of one picture; only the cropped part is resampled."""
+    planes = (pixels[:, :, :3] if config.do_convert_rgb else pixels).transpose(2, 0, 1)
+    h, w = planes.shape[1:]
+    goal_w, goal_h = w, h
     if config.do_resize:
         goal_h, goal_w = _pair(config.size)
-        h, w = pixels.shape[:2]
         if config.keep_aspect and w < h:
             goal_h = h * goal_w // w
         elif config.keep_aspect:
             goal_w = w * goal_h // h
-        kernel = FILTER_NUMBERS.get(config.resample, "bicubic")
-        pixels = to_bytes(resize(pixels, goal_w, goal_h, kernel))
+    box = (0, 0, goal_w, goal_h)
     if config.do_center_crop:
         crop_h, crop_w = _pair(config.crop_size)
-        top, left = (pixels.shape[0] - crop_h) // 2, (pixels.shape[1] - crop_w) // 2
-        pixels = pixels[top : top + crop_h, left : left + crop_w]
-    out = pixels.astype("f4")
+        box = ((goal_w - crop_w) // 2, (goal_h - crop_h) // 2, crop_w, crop_h)
+    kernel = FILTER_NUMBERS.get(config.resample, "bicubic")
+    out = to_bytes(resize_planes(planes, goal_w, goal_h, kernel, box)).astype("f4")
     if config.do_rescale:
         # The usual factor is a division by 255 in single precision, which differs in the last bit.
-        usual = config.rescale_factor == 1 / 255
-        out = out / np.float32(255) if usual else out * np.float32(config.rescale_factor)
+        if config.rescale_factor == 1 / 255:
+            out /= np.float32(255)
+        else:
+            out *= np.float32(config.rescale_factor)
     if config.do_normalize:
-        out = (out - np.float32(config.image_mean)) / np.float32(config.image_std)
-    return out.transpose(2, 0, 1)
+        out -= np.float32(config.image_mean)[:, None, None]
+        out /= np.float32(config.image_std)[:, None, None]
+    return out
 
 
 def _pictures(w: pa.Array, h: pa.Array, channels: pa.Array, data: pa.Array) -> Iterator[np.ndarray | None]:
@@ -211,13 +215,23 @@ def _pictures(w: pa.Array, h: pa.Array, channels: pa.Array, data: pa.Array) -> I
         yield None if row[0] is None else rgb_view(*row)
 
 
+def _in_small_batches(columns: tuple[pa.Array, ...]) -> Iterator[tuple[pa.Array, ...]]:
+    """Slices of a batch: results are far larger than inputs, so few may be held at a time."""
+    for first in range(0, len(columns[0]), _IMAGES_PER_BATCH):
+        yield tuple(column.slice(first, _IMAGES_PER_BATCH) for column in columns)
+
+
 def image_tensor(config: Preprocess = CLIP) -> Column:
     """Flat channel-first tensor of the packed image in columns w, h, channels, data."""
 
+    @once_per_row
     @F.arrow_udf("array<float>")
-    def run(w: pa.Array, h: pa.Array, channels: pa.Array, data: pa.Array) -> pa.Array:
-        pictures = _pictures(w, h, channels, data)
-        return float_lists([None if p is None else preprocessed(p, config).ravel() for p in pictures])
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in _in_small_batches(batch):
+                yield float_lists(
+                    [None if p is None else preprocessed(p, config).ravel() for p in _pictures(*part)]
+                )
 
     return run("w", "h", "channels", "data")
 
@@ -225,24 +239,26 @@ def image_tensor(config: Preprocess = CLIP) -> Column:
 def resampled(new_w: Column, new_h: Column, kernel: str) -> Column:
     """Packed image resized to per-row sizes; alpha is resized like a colour."""
 
+    @once_per_row
     @F.arrow_udf(PIXELS)
     def run(
-        w: pa.Array, h: pa.Array, channels: pa.Array, data: pa.Array, goal_w: pa.Array, goal_h: pa.Array
-    ) -> pa.Array:
-        rows = []
-        columns = [c.to_pylist() for c in (w, h, channels, data, goal_w, goal_h)]
-        for width, height, count, value, out_w, out_h in zip(*columns):
-            if value is None:
-                rows.append(None)
-                continue
-            pixels = np.frombuffer(value, np.uint8).reshape(height, width, count)
-            out_w, out_h = max(out_w, 1), max(out_h, 1)
-            out = to_bytes(resize(pixels, out_w, out_h, kernel))
-            rows.append({"w": out_w, "h": out_h, "channels": count, "data": out.tobytes()})
+        batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]],
+    ) -> Iterator[pa.Array]:
         kind = pa.struct(
             [("w", pa.int64()), ("h", pa.int64()), ("channels", pa.int32()), ("data", pa.binary())]
         )
-        return pa.array(rows, kind)
+        for batch in batches:
+            for part in _in_small_batches(batch):
+                rows = []
+                for width, height, count, value, goal_w, goal_h in zip(*[c.to_pylist() for c in part]):
+                    if value is None:
+                        rows.append(None)
+                        continue
+                    pixels = np.frombuffer(value, np.uint8).reshape(height, width, count)
+                    goal_w, goal_h = max(goal_w, 1), max(goal_h, 1)
+                    data = to_bytes(resize(pixels, goal_w, goal_h, kernel)).tobytes()
+                    rows.append({"w": goal_w, "h": goal_h, "channels": count, "data": data})
+                yield pa.array(rows, kind)
 
     return run("w", "h", "channels", "data", new_w, new_h)
 
@@ -250,18 +266,20 @@ def resampled(new_w: Column, new_h: Column, kernel: str) -> Column:
 def resampled_samples(new_w: Column, new_h: Column, kernel: str) -> Column:
     """Resized samples of the packed image, row by row with channels last, not rounded to bytes."""
 
+    @once_per_row
     @F.arrow_udf("array<float>")
     def run(
-        w: pa.Array, h: pa.Array, channels: pa.Array, data: pa.Array, goal_w: pa.Array, goal_h: pa.Array
-    ) -> pa.Array:
-        pictures = _pictures(w, h, channels, data)
-        sizes = zip(goal_w.to_pylist(), goal_h.to_pylist())
-        return float_lists(
-            [
-                None if p is None else resize(p, max(x, 1), max(y, 1), kernel).ravel()
-                for p, (x, y) in zip(pictures, sizes)
-            ]
-        )
+        batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]],
+    ) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in _in_small_batches(batch):
+                sizes = zip(part[4].to_pylist(), part[5].to_pylist())
+                yield float_lists(
+                    [
+                        None if p is None else resize(p, max(x, 1), max(y, 1), kernel).ravel()
+                        for p, (x, y) in zip(_pictures(*part[:4]), sizes)
+                    ]
+                )
 
     return run("w", "h", "channels", "data", new_w, new_h)
 
@@ -321,13 +339,13 @@ class ProjectionImageEncoder:
         n, channels, h, w = batch.shape
         edges_y = np.arange(self.grid) * h // self.grid
         edges_x = np.arange(self.grid) * w // self.grid
-        sums = np.add.reduceat(np.add.reduceat(batch.astype("f8"), edges_y, axis=2), edges_x, axis=3)
-        rows = np.diff(np.append(edges_y, h))[:, None] * np.diff(np.append(edges_x, w))[None, :]
-        cells = sums / rows
-        whole = cells.reshape(n, -1) @ self.matrix
+        sums = np.add.reduceat(np.add.reduceat(batch, edges_y, axis=2, dtype="f8"), edges_x, axis=3)
+        sizes = np.diff(np.append(edges_y, h))[:, None] * np.diff(np.append(edges_x, w))[None, :]
+        cells = (sums / sizes).transpose(2, 0, 1, 3).reshape(self.grid, n, -1)
         blocks = self.matrix.reshape(channels, self.grid, self.grid, self.width)
-        per_row = np.einsum("ncyx,cyxw->nyw", cells, blocks)
-        return np.concatenate([whole[:, None, :], per_row], axis=1)
+        blocks = blocks.transpose(1, 0, 2, 3).reshape(self.grid, -1, self.width)
+        rows = np.matmul(cells, blocks).transpose(1, 0, 2)
+        return np.concatenate([rows.sum(axis=1, keepdims=True), rows], axis=1)
 
 
 class OnnxImageEncoder:
@@ -359,6 +377,7 @@ def embed_images(
     encoder = encoder or ProjectionImageEncoder()
     keep = dim or encoder.width
 
+    @once_per_row
     @F.arrow_udf("array<float>")
     def run(w: pa.Array, h: pa.Array, channels: pa.Array, data: pa.Array) -> pa.Array:
         rows: list[np.ndarray | None] = [None] * len(data)

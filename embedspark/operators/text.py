@@ -123,10 +123,13 @@ def embed_distinct_texts(df: DataFrame, text: str = "input", **options) -> DataF
 
 
 def hashed_tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Long form of the offline encoder's input: one row per token with position and hash."""
-    return df.select(*keys, F.posexplode(tokens(F.col(text))).alias("token_idx", "token")).withColumn(
-        "hash", token_hash(F.col("token"))
-    )
+    """Long form of the offline encoder's input: one row per token with position and hash.
+
+    The outer form with a filter behind it keeps the optimizer from inferring a filter on the token
+    array, which would tokenise every text twice.
+    """
+    exploded = df.select(*keys, F.posexplode_outer(tokens(F.col(text))).alias("token_idx", "token"))
+    return exploded.where(F.col("token").isNotNull()).withColumn("hash", token_hash(F.col("token")))
 
 
 def token_ids(text: Column, vocabulary: int = 30522) -> Column:

@@ -12,6 +12,8 @@ import struct
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from embedspark.functions.arrow import once_per_row
+
 ENTRIES = T.ArrayType(
     T.StructType(
         [
@@ -150,6 +152,7 @@ def _read_entries(payload: bytes) -> list[dict]:
     return out
 
 
+@once_per_row
 @F.arrow_udf(ENTRIES)
 def exif_entries(payload: pa.Array) -> pa.Array:
     """Fields of the EXIF block in file order; empty without a block or if it cannot be parsed."""

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from embedspark.constants import MAX_IMAGE_BYTES
+from embedspark.functions.arrow import once_per_row
 
 PACKED = T.StructType(
     [
@@ -25,6 +26,7 @@ PACKED = T.StructType(
     ]
 )
 _PIXELS_PER_BATCH = 1 << 16
+_IMAGES_PER_BATCH = 64
 
 
 def image_files(spark: SparkSession, path: str, limit: int = MAX_IMAGE_BYTES) -> DataFrame:
@@ -59,35 +61,37 @@ def decoded_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _unfilter(raw: np.ndarray, h: int, stride: int, step: int) -> np.ndarray:
-    """Undoes the five PNG row filters."""
-    rows = raw.reshape(h, stride + 1)
-    out = np.zeros((h + 1, stride), np.uint8)
+def _unfilter(raw: np.ndarray, h: int, w: int, step: int) -> np.ndarray:
+    """Undoes the five PNG row filters; (h, w, step) bytes.
+
+    The average and Paeth filters need the left, upper and corner neighbours, so pictures that use
+    them are undone along anti-diagonals, each as one array operation over all rows it crosses.
+    """
+    rows = raw.reshape(h, w * step + 1)
+    kinds, given = rows[:, 0], rows[:, 1:].reshape(h, w, step)
+    if kinds.max(initial=0) <= 2:
+        out = np.zeros((h + 1, w, step), np.uint8)
+        for y, kind in enumerate(kinds.tolist()):
+            line = np.cumsum(given[y], axis=0, dtype=np.uint8) if kind == 1 else given[y]
+            out[y + 1] = line + out[y] if kind == 2 else line
+        return out[1:]
+    # Row y is shifted right by y, so that an anti-diagonal is one row of the shifted picture.
+    shifted = np.zeros((h + w - 1, h, step), np.int16)
     for y in range(h):
-        kind, line, above = rows[y, 0], rows[y, 1:], out[y]
-        if kind == 0:
-            out[y + 1] = line
-        elif kind == 1:
-            lanes = line.reshape(-1, step)
-            out[y + 1] = np.cumsum(lanes, axis=0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            out[y + 1] = line + above
-        else:
-            left, corner = [0] * step, [0] * step
-            given, up, done = line.tolist(), above.tolist(), [0] * stride
-            for i in range(stride):
-                lane = i % step
-                a, b, c = left[lane], up[i], corner[lane]
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    near = a + b - c
-                    gaps = (abs(near - a), abs(near - b), abs(near - c))
-                    guess = (a, b, c)[gaps.index(min(gaps))]
-                done[i] = (given[i] + guess) & 255
-                left[lane], corner[lane] = done[i], b
-            out[y + 1] = done
-    return out[1:]
+        shifted[y : y + w, y] = given[y]
+    out = np.zeros((h + w + 1, h + 1, step), np.int16)
+    use = [(kinds == kind).astype(np.int16)[:, None] for kind in (1, 2, 3, 4)]
+    for d in range(h + w - 1):
+        low, high = max(0, d - w + 1), min(h, d + 1)
+        left, up, corner = out[d + 1, low + 1 : high + 1], out[d + 1, low:high], out[d, low:high]
+        to_left, to_up = np.abs(up - corner), np.abs(left - corner)
+        to_corner = np.abs(left + up - 2 * corner)
+        paeth = np.where(to_up <= to_corner, up, corner)
+        paeth = np.where((to_left <= to_up) & (to_left <= to_corner), left, paeth)
+        sub, above, mean, third = (mask[low:high] for mask in use)
+        guess = left * sub + up * above + ((left + up) >> 1) * mean + paeth * third
+        out[d + 2, low + 1 : high + 1] = (shifted[d, low:high] + guess) & 255
+    return np.stack([out[y + 2 : y + 2 + w, y + 1] for y in range(h)]).astype(np.uint8)
 
 
 def _read_png(payload: bytes) -> tuple[int, int, int, bytes]:
@@ -116,7 +120,7 @@ def _read_png(payload: bytes) -> tuple[int, int, int, bytes]:
     if depth != 8 or step is None or interlace:
         raise ValueError("unsupported PNG form")
     raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)
-    pixels = _unfilter(raw, h, w * step, step).reshape(h * w, step)
+    pixels = _unfilter(raw, h, w, step).reshape(h * w, step)
     if color == 3:
         rgb = palette[pixels[:, 0]]
         if alpha is None:
@@ -130,22 +134,28 @@ def _read_png(payload: bytes) -> tuple[int, int, int, bytes]:
     return w, h, pixels.shape[1], pixels.tobytes()
 
 
+@once_per_row
 @F.arrow_udf(PACKED)
-def decode_png(payload: pa.Array) -> pa.Array:
-    """Packed image of PNG bytes; anything unreadable becomes a row with its error text."""
-    rows = []
-    for value in payload.to_pylist():
-        try:
-            if value is None:
-                raise ValueError("no payload")
-            w, h, channels, data = _read_png(value)
-            rows.append({"w": w, "h": h, "channels": channels, "data": data, "error": None})
-        except Exception as failure:
-            rows.append({"error": f"Failed to decode image: {failure}"})
+def decode_png(payloads: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Packed image of PNG bytes; anything unreadable becomes a row with its error text.
+
+    Pictures leave in small batches, because they are much larger than their payloads.
+    """
     kind = pa.struct(
         [("w", pa.int64()), ("h", pa.int64()), ("channels", pa.int32()), ("data", pa.binary()), ("error", pa.string())]
     )
-    return pa.array(rows, kind)
+    for payload in payloads:
+        for first in range(0, len(payload), _IMAGES_PER_BATCH):
+            rows = []
+            for value in payload.slice(first, _IMAGES_PER_BATCH).to_pylist():
+                try:
+                    if value is None:
+                        raise ValueError("no payload")
+                    w, h, channels, data = _read_png(value)
+                    rows.append({"w": w, "h": h, "channels": channels, "data": data, "error": None})
+                except Exception as failure:
+                    rows.append({"error": f"Failed to decode image: {failure}"})
+            yield pa.array(rows, kind)
 
 
 def explode_pixels(packed: DataFrame, key: str = "image_id") -> DataFrame:
@@ -156,30 +166,42 @@ def explode_pixels(packed: DataFrame, key: str = "image_id") -> DataFrame:
     kind = packed.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, w bigint, h bigint, idx bigint, x bigint, y bigint, r int, g int, b int, a int"
 
+    def batch_of(parts: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+        """Rows of several (key, w, h, first position, (n, 4) colours) pieces."""
+        lengths = [len(colors) for *_, colors in parts]
+        keys = pa.array([part[0] for part in parts], key_type)
+        w, h, first = (np.repeat([part[i] for part in parts], lengths) for i in (1, 2, 3))
+        starts = np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
+        idx = first + np.arange(sum(lengths)) - starts
+        colors = np.concatenate([part[4] for part in parts]).astype("i4")
+        columns = [keys.take(pa.array(np.repeat(np.arange(len(parts)), lengths)))]
+        columns += [pa.array(v) for v in (w, h, idx, idx % w, idx // w)]
+        columns += [pa.array(np.ascontiguousarray(colors[:, i])) for i in range(4)]
+        return pa.RecordBatch.from_arrays(columns, names=[key, "w", "h", "idx", "x", "y", "r", "g", "b", "a"])
+
+    def four_channels(data: bytes, channels: int) -> np.ndarray:
+        pixels = np.frombuffer(data, np.uint8).reshape(-1, channels)
+        if channels == 4:
+            return pixels
+        colors = pixels[:, :3] if channels == 3 else np.repeat(pixels[:, :1], 3, axis=1)
+        return np.concatenate([colors, np.full((len(colors), 1), 255, np.uint8)], axis=1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts, held = [], 0
+            key_type = batch.schema.field(key).type
             for image in batch.to_pylist():
                 if image["data"] is None:
                     continue
-                w, h, channels = image["w"], image["h"], image["channels"]
-                pixels = np.frombuffer(image["data"], np.uint8).reshape(-1, channels)
-                for first in range(0, w * h, _PIXELS_PER_BATCH):
-                    part = pixels[first : first + _PIXELS_PER_BATCH].astype("i4")
-                    idx = np.arange(first, first + len(part), dtype="i8")
-                    if channels < 3:
-                        part = np.repeat(part[:, :1], 3, axis=1)
-                    alpha = part[:, 3] if channels == 4 else np.full(len(part), 255, "i4")
-                    columns = [
-                        pa.array([image[key]] * len(part), batch.schema.field(key).type),
-                        pa.array(np.full(len(part), w)),
-                        pa.array(np.full(len(part), h)),
-                        pa.array(idx),
-                        pa.array(idx % w),
-                        pa.array(idx // w),
-                        *[pa.array(np.ascontiguousarray(part[:, i])) for i in range(3)],
-                        pa.array(np.ascontiguousarray(alpha)),
-                    ]
-                    names = [key, "w", "h", "idx", "x", "y", "r", "g", "b", "a"]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                colors = four_channels(image["data"], image["channels"])
+                for first in range(0, len(colors), _PIXELS_PER_BATCH):
+                    piece = colors[first : first + _PIXELS_PER_BATCH]
+                    parts.append((image[key], image["w"], image["h"], first, piece))
+                    held += len(piece)
+                    if held >= _PIXELS_PER_BATCH:
+                        yield batch_of(parts, key_type)
+                        parts, held = [], 0
+            if parts:
+                yield batch_of(parts, key_type)
 
     return packed.select(key, "w", "h", "channels", "data").mapInArrow(run, schema)

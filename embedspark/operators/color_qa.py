@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from embedspark.constants import AVERAGE_TOLERANCE, DOMINANT_TOLERANCE
 from embedspark.functions import color as fn
+from embedspark.session import written
 
 METHODS = ("arithmetic", "geometric")
 
@@ -78,14 +79,17 @@ def pass_summary(results: DataFrame, passed: str = "passed", *groups: str) -> Da
 
 
 def both_methods(results: DataFrame, key: str, columns: list[str], method: str = "method") -> DataFrame:
-    """One row per image that has a result for both methods, columns suffixed by the method."""
+    """One row per image that has a result for both methods, columns suffixed by the method.
 
-    def one(name: str) -> DataFrame:
-        return results.where(F.col(method) == name).select(
-            key, *[F.col(c).alias(f"{c}_{name}") for c in columns]
-        )
-
-    return one(METHODS[0]).join(one(METHODS[1]), key)
+    A combined aggregate instead of a join of the two halves, so the results are computed once.
+    """
+    named = {
+        f"{c}_{name}": F.max(F.when(F.col(method) == name, F.col(c))) for name in METHODS for c in columns
+    }
+    seen = [F.max((F.col(method) == name).cast("int")).alias(f"_has_{name}") for name in METHODS]
+    wide = results.groupBy(key).agg(*[value.alias(c) for c, value in named.items()], *seen)
+    both = F.col(f"_has_{METHODS[0]}") + F.col(f"_has_{METHODS[1]}") == 2
+    return wide.where(both).select(key, *named)
 
 
 def is_success(avg_a: Column, avg_b: Column, left_hex: Column, right_hex: Column) -> Column:
@@ -98,8 +102,10 @@ def ranked_by_distance(df: DataFrame, key: str) -> DataFrame:
     """Worst first by (hex distance, differing digits), with the rank of that pair of values.
 
     Rows of equal distance share a rank. There are at most 256 * 7 pairs of values, so ranks come
-    from their counts and the rows themselves are only sorted by range, never put in one task.
+    from their counts and the rows themselves are only sorted by range, never put in one task. The
+    rows are written first: they are needed twice and cost far more to compute than to read.
     """
+    df = written(df)
     classes = df.groupBy("hex_diff", "hex_digits").agg(F.count("*").alias("_n"))
     before = Window.orderBy(F.desc("hex_diff"), F.desc("hex_digits")).rowsBetween(
         Window.unboundedPreceding, -1

@@ -27,10 +27,18 @@ def with_pair_metrics(df: DataFrame, a: str, b: str, drop: bool = True) -> DataF
     return out
 
 
-def compare_variants(base: DataFrame, variant: DataFrame, key: str, vector: str, latency: str) -> DataFrame:
-    """Items of both tables with their metrics and the two latencies."""
+def compare_variants(
+    base: DataFrame, variants: DataFrame, key: str, vector: str, latency: str, *labels: str
+) -> DataFrame:
+    """Items of both tables with their metrics and the two latencies.
+
+    ``variants`` may hold several rows per item, told apart by the label columns, so that all
+    variants meet the base in one join.
+    """
     left = base.select(key, F.col(vector).alias("a"), F.col(latency).alias("base_latency"))
-    right = variant.select(key, F.col(vector).alias("b"), F.col(latency).alias("variant_latency"))
+    right = variants.select(
+        key, *labels, F.col(vector).alias("b"), F.col(latency).alias("variant_latency")
+    )
     return with_pair_metrics(left.join(right, key), "a", "b")
 
 

@@ -157,18 +157,18 @@ LATENCY_SQL = """latency AS (
   FROM events WHERE event_id IN (SELECT vec_id FROM embeddings))"""
 
 
-def compared(spark, sf_dir, variant):
-    """Items with metrics and latencies for one variant against the exact form."""
+def compared(spark, sf_dir, *names):
+    """Items with metrics and latencies of the named variants against the exact form."""
     rows = variants(spark, sf_dir)
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), "value")
     timed = rows.join(events, "vec_id")
     base = timed.select("vec_id", F.col("fp32").alias("vector"), F.col("value").alias("latency"))
-    other = timed.select(
-        "vec_id",
-        F.col(variant).alias("vector"),
-        (F.col("value") * (1 + F.col("vec_id") % 3) / 2).alias("latency"),
+    forms = F.explode(
+        F.array(*[F.struct(F.lit(n).alias("variant"), F.col(n).alias("vector")) for n in names])
     )
-    return ops.compare_variants(base, other, "vec_id", "vector", "latency")
+    slower = (F.col("value") * (1 + F.col("vec_id") % 3) / 2).alias("latency")
+    others = timed.select("vec_id", slower, forms.alias("f")).select("vec_id", "latency", "f.*")
+    return ops.compare_variants(base, others, "vec_id", "vector", "latency", "variant")
 
 
 def summary_sql(variant: str) -> str:
@@ -208,11 +208,8 @@ def variant_compare(spark, sf_dir):
 )
 def variant_summary(spark, sf_dir):
     """Summary of every variant and its speedup."""
-    parts = [
-        compared(spark, sf_dir, name).withColumn("variant", F.lit(name))
-        for name in ("fp16", "int8", "int8_batched")
-    ]
-    summary = ops.comparison_summary(parts[0].unionByName(parts[1]).unionByName(parts[2]), "variant")
+    rows = compared(spark, sf_dir, "fp16", "int8", "int8_batched")
+    summary = ops.comparison_summary(rows, "variant")
     latency = {"base_latency_mean", "variant_latency_mean"}
     return summary.select(
         "variant",

@@ -8,9 +8,13 @@ aggregation with map-side combining.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from embedspark.constants import ALPHA_THRESHOLD, GEOMETRIC_EPS, THUMBNAIL_SIZE
+from embedspark.constants import ALPHA_THRESHOLD, GEOMETRIC_EPS, HUE_EPS, THUMBNAIL_SIZE
 from embedspark.functions import color as fn
 
 CHANNELS = ("r", "g", "b")
@@ -111,6 +115,71 @@ def cluster_histogram(
     )
 
 
+def _hsv_single(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hue, saturation and value of 0..1 channels, all steps in single precision."""
+    single = np.float32
+    high, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+    delta = high - low
+    grey = delta < single(HUE_EPS)
+    safe = np.where(grey, single(1), delta)
+    red = np.mod((g - b) / safe, single(6)) / single(6)
+    green = ((b - r) / safe + single(2)) / single(6)
+    blue = ((r - g) / safe + single(4)) / single(6)
+    near_red, near_green = np.abs(high - r) < single(HUE_EPS), np.abs(high - g) < single(HUE_EPS)
+    hue = np.where(grey, single(0), np.where(near_red, red, np.where(near_green, green, blue)))
+    saturation = np.where(high > 0, delta / np.where(high > 0, high, single(1)), single(0))
+    return hue, saturation, high
+
+
+def packed_histogram(images: DataFrame, image: str = "image_id") -> DataFrame:
+    """``cluster_histogram`` straight from packed images (w, h, channels, data).
+
+    The pixels never become rows: a task turns each picture into its few hundred clusters. Use it
+    for picture bytes; the long form is for pixels that already are rows.
+    """
+    kind = images.schema[image].dataType.simpleString()
+    sums = ", ".join(f"sum_{c} double, log_{c} double" for c in CHANNELS)
+    schema = f"{image} {kind}, key int, cnt bigint, first_pixel bigint, {sums}"
+    ten = np.float32(10)
+
+    def clusters(data: bytes, channels: int) -> list[np.ndarray]:
+        pixels = np.frombuffer(data, np.uint8).reshape(-1, channels)
+        idx = np.arange(len(pixels))
+        if channels == 4:
+            idx = np.flatnonzero(pixels[:, 3] >= ALPHA_THRESHOLD)
+        bytes_of = pixels[idx, :3].astype("i8") if channels >= 3 else np.repeat(pixels[idx, :1], 3, axis=1).astype("i8")
+        unit = (bytes_of / 255.0).astype("f4")
+        h, s, v = (
+            (part * ten).astype("i4") for part in _hsv_single(unit[:, 0], unit[:, 1], unit[:, 2])
+        )
+        keys, first, member, counts = np.unique(
+            h * 1000 + s * 10 + v, return_index=True, return_inverse=True, return_counts=True
+        )
+        r, g, b = bytes_of[first].T if len(first) else np.zeros((3, 0), "i8")
+        out = [keys.astype("i4"), counts, ((idx[first] * 256 + r) * 256 + g) * 256 + b]
+        for c in range(3):
+            values = unit[:, c].astype("f8")
+            for weights in (values, np.log(np.maximum(values, GEOMETRIC_EPS))):
+                out.append(np.bincount(member, weights=weights, minlength=len(keys)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, parts = [], []
+            for row in batch.to_pylist():
+                if row["data"] is not None:
+                    parts.append(clusters(row["data"], row["channels"]))
+                    keys += [row[image]] * len(parts[-1][0])
+            if keys:
+                columns = [np.concatenate(part) for part in zip(*parts)]
+                arrays = [pa.array(keys, batch.schema.field(image).type), *map(pa.array, columns)]
+                names = [image, "key", "cnt", "first_pixel"]
+                names += [f"{part}_{c}" for c in CHANNELS for part in ("sum", "log")]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return images.select(image, "channels", "data").mapInArrow(run, schema)
+
+
 def dominant_clusters(histogram: DataFrame, first_seen: bool = False, image: str = "image_id") -> DataFrame:
     """Most frequent cluster per image with its first pixel; ties go to the lowest key.
 
@@ -186,7 +255,21 @@ def image_statistics(
     even and ties to the cluster seen first.
     """
     scale = 255.0 if twin else 1.0
-    totals = image_totals(cluster_histogram(pixels, twin, scale), first_seen=twin)
+    return assemble_statistics(
+        images, cluster_histogram(pixels, twin, scale), method, default_method, twin
+    )
+
+
+def assemble_statistics(
+    images: DataFrame,
+    histogram: DataFrame,
+    method: Column | None = None,
+    default_method: str = "geometric",
+    twin: bool = False,
+) -> DataFrame:
+    """``image_statistics`` from clusters, however they were made; other image columns are kept."""
+    scale = 255.0 if twin else 1.0
+    totals = image_totals(histogram, first_seen=twin)
     chosen = F.coalesce(method if method is not None else F.lit(None).cast("string"), F.lit(default_method))
     joined = images.withColumn("method", chosen).join(totals, "image_id", "left")
     present = F.col("valid").isNotNull()
@@ -195,10 +278,9 @@ def image_statistics(
         dominant_color(twin).alias("dominant_color"),
     )
     new_w, new_h = thumbnail_size(F.col("w"), F.col("h"))
+    kept = [c for c in images.columns if c not in ("channels", "data")]
     return joined.select(
-        "image_id",
-        "w",
-        "h",
+        *kept,
         new_w.alias("processed_w"),
         new_h.alias("processed_h"),
         "method",

@@ -113,11 +113,11 @@ def embed_texts(
 def embed_distinct_texts(df: DataFrame, text: str = "input", **options) -> DataFrame:
     """``embed_texts`` that encodes every distinct text once; pays off for costly encoders.
 
-    Copies collapse before the shuffle; the join back sends only the rows without their text, and
+    Copies collapse before the shuffle (the key determines the text, so both group by hash); the join back sends only the rows without their text, and
     a text shared by very many rows is split by adaptive skew handling.
     """
     keyed = df.withColumn("_text_key", F.sha2(F.col(text).cast("binary"), 256))
-    unique = keyed.groupBy("_text_key").agg(F.first(text).alias(text))
+    unique = keyed.select("_text_key", text).distinct()
     encoded = embed_texts(unique, text, **options).drop(text)
     return keyed.join(encoded, "_text_key", "left").drop("_text_key")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from embedspark.functions import color as fn
 from embedspark.operators import color as ops
+from embedspark.plans.binary_fixtures import packed_images
 from embedspark.plans.color_sql import CHANNELS_SQL, CLUSTERS_SQL, hex_sql
 from embedspark.plans.fixtures import IMAGES_SQL, PIXELS_SQL, images, pixels, table
 from embedspark.plans.registry import query, r6, s6
@@ -144,12 +145,12 @@ def rgb_to_hsv_query(spark, sf_dir):
     return rows.groupBy("image_id").agg(*parts)
 
 
-@query(
-    "c9_c11_cluster_histogram",
-    f"""WITH {CLUSTERS_SQL}
+HISTOGRAM_SQL = f"""WITH {CLUSTERS_SQL}
 SELECT c.image_id, c.key::INT AS key, c.cnt, c.first_idx, p.r, p.g, p.b FROM clusters c
-JOIN pixels p ON p.image_id = c.image_id AND p.idx = c.first_idx""",
-)
+JOIN pixels p ON p.image_id = c.image_id AND p.idx = c.first_idx"""
+
+
+@query("c9_c11_cluster_histogram", HISTOGRAM_SQL)
 def cluster_histogram_query(spark, sf_dir):
     """Every cluster of every image with its count and first pixel."""
     rows = ops.cluster_histogram(pixels(spark, sf_dir))
@@ -163,6 +164,20 @@ def cluster_histogram_query(spark, sf_dir):
     )
 
 
+@query("c10_packed_histogram", HISTOGRAM_SQL)
+def packed_histogram_query(spark, sf_dir):
+    """The same clusters straight from picture bytes, without pixel rows."""
+    rows = ops.packed_histogram(packed_images(spark, sf_dir))
+    parts = ops.unpacked(F.col("first_pixel"))
+    return rows.select(
+        "image_id",
+        "key",
+        "cnt",
+        parts["idx"].alias("first_idx"),
+        *[parts[c].alias(c) for c in ops.CHANNELS],
+    )
+
+
 @query(
     "c12_dominant_color",
     f"""WITH {CLUSTERS_SQL}

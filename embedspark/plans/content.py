@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from embedspark.functions import payload as fn
+from embedspark.operators.color import assemble_statistics, packed_histogram
 from embedspark.operators.text import embed_texts
-from embedspark.plans.binary_fixtures import metadata_payloads, png_payloads
+from embedspark.plans.binary_fixtures import metadata_payloads, packed_images, png_payloads
+from embedspark.plans.color_sql import CLUSTERS_SQL, hex_sql
 from embedspark.plans.fixtures import (
     CONTENT_SQL,
     PIXELS_SQL,
@@ -288,6 +290,33 @@ def exif_extract(spark, sf_dir):
     return rows.select("image_id", F.explode("exif").alias("tag", "value"))
 
 
+@query(
+    "c15_stats_rows",
+    f"""WITH {CLUSTERS_SQL}, {EXIF_SQL}, fields AS (
+  SELECT k, count(*) AS n, max(CASE WHEN tag = 'Make' THEN value END) AS make FROM tags GROUP BY k)
+SELECT i.image_id, coalesce(f.n, 0) AS exif_fields, f.make, m.valid_pixels, {hex_sql("m.gr", "m.gg", "m.gb")} AS avg_hex,
+  {s6("m.gr::FLOAT", 5)} AS avg_r, {hex_sql("b.rf", "b.gf", "b.bf")} AS dominant_hex
+FROM images i LEFT JOIN fields f ON f.k = i.image_id LEFT JOIN means m ON m.image_id = i.image_id
+LEFT JOIN best b ON b.image_id = i.image_id""",
+)
+def stats_rows(spark, sf_dir):
+    """The full answer per image from bytes: metadata and colours, clusters made inside the tasks."""
+    packed = packed_images(spark, sf_dir)
+    meta = exif.with_exif(metadata_payloads(spark, sf_dir))
+    colors = assemble_statistics(packed, packed_histogram(packed))
+    rows = colors.join(meta, "image_id", "left")
+    average, dominant = F.col("color_data.avg_color"), F.col("color_data.dominant_color")
+    return rows.select(
+        "image_id",
+        F.coalesce(F.size("exif"), F.lit(0)).cast("bigint").alias("exif_fields"),
+        F.try_element_at("exif", F.lit("Make")).alias("make"),
+        F.when(F.col("valid_pixels") > 0, F.col("valid_pixels")).alias("valid_pixels"),
+        average["hex"].alias("avg_hex"),
+        r6(average["rgb"][0], 5).alias("avg_r"),
+        dominant["hex"].alias("dominant_hex"),
+    )
+
+
 @query(
     "c18_exif_value_shaping",
     """SELECT p_partkey AS image_id, CASE p_partkey % 8 WHEN 0 THEN '"' || p_name || '"' WHEN 1 THEN '["' || p_name || '","' || p_brand || '"]'

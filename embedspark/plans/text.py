@@ -187,7 +187,7 @@ def outputs(spark, sf_dir):
     "t5_shape_dispatch",
     f"""WITH {OUTPUTS_SQL}
 SELECT vec_id, CASE WHEN vec_id % 5 = 4 THEN 'Unexpected embedding shape: [2, 4, 64]' END AS error,
-  CASE WHEN vec_id % 5 < 4 THEN {s6("(v[1] * CASE WHEN t = 1 THEN 1 ELSE 7.0/3 END)::FLOAT")} END AS first_value,
+  CASE WHEN vec_id % 5 < 4 THEN {s6("(CASE WHEN t = 1 THEN v[1] ELSE (v[1] + v[1] * 2 + v[1] * 4) / 3 END)::FLOAT")} END AS first_value,
   CASE WHEN vec_id % 5 < 4 THEN {s6("list_sum(v) * CASE WHEN t = 1 THEN 1 ELSE 7.0/3 END", 4)} END AS total
 FROM outputs""",
 )

@@ -194,3 +194,29 @@ def test_ranking_shares_ranks(spark):
     df = spark.createDataFrame(rows, "k int, hex_diff double, hex_digits int")
     got = [(r["k"], r["rank"]) for r in qa.ranked_by_distance(df, "k").collect()]
     assert got == [(3, 1), (1, 2), (2, 2), (4, 4)]
+
+
+def test_packed_histogram_equals_the_long_form(spark):
+    rng = np.random.default_rng(8)
+    rows, long = [], []
+    for image, channels in ((1, 4), (2, 3), (3, 1), (4, 4)):
+        pixels = rng.integers(0, 256, (23 * 17, channels)).astype(np.uint8)
+        if image == 4:
+            pixels[:, 3] = 0
+        rows.append((image, 23, 17, channels, pixels.tobytes()))
+        colors = pixels[:, :3] if channels >= 3 else np.repeat(pixels, 3, axis=1)
+        alpha = pixels[:, 3] if channels == 4 else np.full(len(pixels), 255)
+        long += [(image, i, *map(int, color), int(a)) for i, (color, a) in enumerate(zip(colors, alpha))]
+    packed = spark.createDataFrame(rows, "image_id int, w bigint, h bigint, channels int, data binary")
+
+    def table(df):
+        return {(r["image_id"], r["key"]): r for r in df.collect()}
+
+    got = table(ops.packed_histogram(packed))
+    want = table(ops.cluster_histogram(spark.createDataFrame(long, PIXELS)))
+    assert set(got) == set(want) and not any(image == 4 for image, _ in got)
+    for key, row in want.items():
+        assert got[key]["cnt"] == row["cnt"] and got[key]["first_pixel"] == row["first_pixel"]
+        for name in row.asDict():
+            if name.startswith(("sum_", "log_")):
+                assert got[key][name] == pytest.approx(row[name], rel=1e-12)

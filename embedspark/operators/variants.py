@@ -117,24 +117,28 @@ def by_composition(items: DataFrame, length_class: str, mixes: dict[str, tuple[s
 def orderings(items: DataFrame, group: str, pos: str, *values: str) -> DataFrame:
     """All six orders of every complete group of three: group, ordering, values in that order.
 
-    Positions 0, 1 and 2 become columns by a combined aggregate, so a group is never collected.
+    Positions 0, 1 and 2 become plain columns by a combined hash aggregate, so a group is never
+    collected or sorted.
     """
-    wide = (
-        items.groupBy(group)
-        .agg(
-            *[
-                F.max(F.when(F.col(pos) == i, F.struct(*values))).alias(f"_{i}")
-                for i in range(3)
-            ]
-        )
-        .where(F.col("_0").isNotNull() & F.col("_1").isNotNull() & F.col("_2").isNotNull())
+
+    def at(place: int, value: Column) -> Column:
+        return F.max(F.when(F.col(pos) == place, value))
+
+    wide = items.groupBy(group).agg(
+        *[at(i, F.lit(1)).alias(f"_seen_{i}") for i in range(3)],
+        *[at(i, F.col(v)).alias(f"_{v}_{i}") for i in range(3) for v in values],
     )
+    wide = wide.where("_seen_0 + _seen_1 + _seen_2 = 3")
+
+    def member(place: int) -> Column:
+        return F.struct(*[F.col(f"_{v}_{place}").alias(v) for v in values])
+
     # The six orders of three positions.
     orders = ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0))
     rows = [
         F.struct(
             F.lit("-".join(map(str, order))).alias("ordering"),
-            F.array(*[F.col(f"_{i}") for i in order]).alias("members"),
+            F.array(*[member(i) for i in order]).alias("members"),
         )
         for order in orders
     ]

@@ -11,7 +11,7 @@ from embedspark.operators.color import thumbnail_size
 from embedspark.operators.text import assemble_batches
 from embedspark.plans.binary_fixtures import packed_images, png_payloads
 from embedspark.plans.color import SIZES_SQL, sizes
-from embedspark.plans.fixtures import PIXELS_SQL, base64_text, pixels, table
+from embedspark.plans.fixtures import IMAGES_SQL, PIXELS_SQL, base64_text, images, pixels, table
 from embedspark.plans.registry import query, r6, s6
 from embedspark.sources import payloads
 from embedspark.sources.images import decode_png, explode_pixels
@@ -278,6 +278,26 @@ def cls_extract(spark, sf_dir):
     )
 
 
+# Batches of three, four and five images in turn.
+BATCH_OF = "image_id div 12 * 3 + case when image_id % 12 < 3 then 0 when image_id % 12 < 7 then 1 else 2 end"
+
+
+@query(
+    "t12_image_admission",
+    f"""WITH {IMAGES_SQL}, b AS (SELECT {BATCH_OF.replace(" div ", " // ")} AS batch_id, count(*) AS batch_size FROM images GROUP BY ALL)
+SELECT batch_id, batch_size, CASE WHEN batch_size > {MAX_IMAGE_BATCH} THEN 400 ELSE 200 END AS code,
+  CASE WHEN batch_size > {MAX_IMAGE_BATCH} THEN 'Batch size ' || batch_size || ' exceeds maximum allowed batch size of {MAX_IMAGE_BATCH}' END AS message
+FROM b""",
+)
+def image_admission(spark, sf_dir):
+    """Image batches know only the size rule."""
+    sizes_of = images(spark, sf_dir).groupBy(F.expr(BATCH_OF).alias("batch_id")).agg(
+        F.count("*").alias("batch_size")
+    )
+    judged = sizes_of.withColumn("status", ops.image_batch_status(F.col("batch_size"), MAX_IMAGE_BATCH))
+    return judged.select("batch_id", "batch_size", "status.code", "status.message")
+
+
 @query("i10_image_batch_embed")
 def image_batch_embed(spark, sf_dir):
     """Data URLs in batches of three to five: admission, decoding, embedding, 64 dimensions.
@@ -286,7 +306,7 @@ def image_batch_embed(spark, sf_dir):
     """
     urls = png_payloads(spark, sf_dir).select(
         "image_id",
-        F.expr("image_id div 12 * 3 + case when image_id % 12 < 3 then 0 when image_id % 12 < 7 then 1 else 2 end").alias("batch_id"),
+        F.expr(BATCH_OF).alias("batch_id"),
         F.concat(F.lit("data:image/png;base64,"), base64_text(F.col("payload"))).alias("content"),
     )
     sizes_of = urls.groupBy("batch_id").agg(F.count("*").alias("batch_size"))

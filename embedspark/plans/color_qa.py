@@ -12,6 +12,13 @@ from embedspark.plans.color_sql import CLUSTERS_SQL, TWIN_SQL, hex_sql, twin_hex
 from embedspark.plans.fixtures import IMAGES_SQL, images, pixels, table
 from embedspark.plans.registry import query, r6, s6
 
+
+
+def gap_sql(channel: str) -> str:
+    """Difference of a channel between the runs; both store colours in single precision."""
+    return f"abs(l_{channel}::DOUBLE - r_{channel}::FLOAT::DOUBLE)"
+
+
 # Two runs: the single-precision rules and the double-precision rules. The first lacks every 19th
 # image, the second every 17th, and its geometric results lack every 23rd.
 PAIRS_SQL = f"""{CLUSTERS_SQL}, {TWIN_SQL},
@@ -28,8 +35,8 @@ right_run AS (SELECT m.image_id, method,
 pairs AS (SELECT i.image_id, t.method, l.* EXCLUDE (image_id, method), r.* EXCLUDE (image_id, method),
     {hex_sql("l_r", "l_g", "l_b")} AS l_hex, {hex_sql("l_dr", "l_dg", "l_db")} AS l_dhex,
     {twin_hex_sql("r_r", "r_g", "r_b")} AS r_hex, {twin_hex_sql("r_dr", "r_dg", "r_db")} AS r_dhex,
-    abs(l_r - r_r) AS d0, abs(l_g - r_g) AS d1, abs(l_b - r_b) AS d2,
-    abs(l_dr - r_dr) AS e0, abs(l_dg - r_dg) AS e1, abs(l_db - r_db) AS e2
+    {gap_sql("r")} AS d0, {gap_sql("g")} AS d1, {gap_sql("b")} AS d2,
+    {gap_sql("dr")} AS e0, {gap_sql("dg")} AS e1, {gap_sql("db")} AS e2
   FROM images i CROSS JOIN methods t LEFT JOIN left_run l ON l.image_id = i.image_id AND l.method = t.method
   LEFT JOIN right_run r ON r.image_id = i.image_id AND r.method = t.method),
 judged AS (SELECT *, coalesce((d0 > 0.03)::INT + (d1 > 0.03)::INT + (d2 > 0.03)::INT, 0) AS avg_errors,

@@ -11,7 +11,7 @@ from embedspark.operators.color import thumbnail_size
 from embedspark.operators.text import assemble_batches
 from embedspark.plans.binary_fixtures import packed_images, png_payloads
 from embedspark.plans.color import SIZES_SQL, sizes
-from embedspark.plans.fixtures import IMAGES_SQL, PIXELS_SQL, base64_text, images, pixels, table
+from embedspark.plans.fixtures import IMAGES_SQL, PIXELS_SQL, base64_text, images, pixels, spread, table
 from embedspark.plans.registry import query, r6, s6
 from embedspark.sources import payloads
 from embedspark.sources.images import decode_png, explode_pixels
@@ -313,7 +313,9 @@ def image_batch_embed(spark, sf_dir):
     judged = urls.join(sizes_of, "batch_id").withColumn(
         "admission", ops.image_batch_status(F.col("batch_size"), MAX_IMAGE_BATCH)
     )
-    accepted = payloads.resolve_inline(judged.where("admission.code = 200")).where("status.code = 200")
+    # Spread again: the join leaves small payloads in one partition, and embedding is costly per row.
+    chosen = spread(judged.where("admission.code = 200"), "image_id")
+    accepted = payloads.resolve_inline(chosen).where("status.code = 200")
     packed = accepted.select("image_id", "batch_id", decode_png("payload").alias("p")).select(
         "image_id", "batch_id", "p.*"
     )

@@ -239,3 +239,23 @@ def test_json_text_is_escaped(spark):
     df = spark.createDataFrame([("ascii", ['a"b\\c\n'])], "type string, values array<string>")
     row = df.select(exif.shaped_value(F.struct(F.lit("t").alias("tag"), "type", "values"))).first()
     assert row[0] == '"a\\"b\\\\c\\n"'
+
+
+def test_batch_query_equals_a_plain_loop(spark, sf_dir):
+    from embedspark.plans import catalog
+
+    sizes = {
+        r["p_partkey"]: (8 + r["p_size"] % 24, 8 + r["p_partkey"] % 24)
+        for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()
+    }
+    encoder = ops.ProjectionImageEncoder()
+    rows = catalog.QUERIES["i10_image_batch_embed"](spark, sf_dir).collect()
+    assert {r["image_id"] for r in rows} == set(sizes)
+    for r in rows:
+        if r["batch_size"] > 4:
+            assert r["code"] == 400 and r["norm"] is None
+            continue
+        tensor = plain_tensor(picture(r["image_id"], *sizes[r["image_id"]]))
+        vector = encoder.run(tensor[None])[0, 0]
+        assert r["code"] == 200 and r["width"] == 64
+        assert r["norm"] == pytest.approx(np.linalg.norm(vector[:64]) / np.linalg.norm(vector), abs=2e-4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embedspark.llm import packing, quality_rules, token_files
+from embedspark.llm import classifier, line_dedup, packing, quality_rules, sharding, token_files
 from embedspark.llm.common import table
 from embedspark.session import shared_folder
 
@@ -13,6 +13,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 SEQUENCE_TOKENS = 4096
 END_ID = 1
+SHARD_BYTES = 16 << 20
 
 
 def _query(function):
@@ -50,3 +51,23 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures of every document and the verdict of the rules."""
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select(F.col("_row.doc_id").alias("doc_id"), *[c for c in judged.columns if c != "_row"])
+
+
+@_query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents from positive-unlabelled learning."""
+    scored = classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(F.col("_row.doc_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+@_query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document; shards hold 16 MiB of text at most."""
+    found = sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return found.select("doc_id", "shard", "depth", "shard_bytes", "shard_rows")
+
+
+@_query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier place has already."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))

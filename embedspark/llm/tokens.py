@@ -25,54 +25,54 @@ def _core(word: str) -> str:
     return core.lower() if core.isascii() else core
 
 
+class _Known(dict):
+    """Ids by word: at most _MAX_WORDS for good, and in ``extra`` those of the present texts only."""
+
+    def __init__(self):
+        super().__init__({"": b""})
+        self.extra: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.extra[word]
+
+    def learn(self, new: dict[str, bytes]) -> None:
+        self.extra = new
+        if len(self) < _MAX_WORDS:
+            self.update(new)
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     Only a tokenizer whose pieces never span white space may be used. White space inside the
-    tokenizer is wider than the ASCII blanks that separate words here, which does no harm: a longer
-    word is simply encoded whole. Special tokens in a text are treated as the library treats them.
+    tokenizer is wider than the blanks that separate words here, which does no harm: a longer word is
+    simply encoded whole. Special tokens in a text are treated as the library treats them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _ask(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: array.array("I", e.ids).tobytes() for w, e in zip(words, found)}
+        self.words, self.cores = _Known(), _Known()
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str]) -> None:
         """Ids of unknown words, put together from their letters and their closing punctuation."""
-        parts = {}
-        for word in words:
-            core = _core(word)
-            parts[word] = (core, word[len(core) :] if len(core) < len(word) else "")
-        wanted = set(chain.from_iterable(parts.values()))
-        new = self._ask([w for w in wanted if w and w not in self.cores])
-        if len(self.cores) + len(new) > _MAX_WORDS:
-            kept = {w: self.cores[w] for w in wanted if w in self.cores}
-            self.cores = kept
-        self.cores.update(new)
-        self.cores[""] = b""
-        cores = self.cores
-        return {w: cores[a] + cores[b] for w, (a, b) in parts.items()}
+        cores = [_core(word) for word in words]
+        tails = [word[len(core) :] for word, core in zip(words, cores)]
+        asked = [w for w in {*cores, *tails} if w not in self.cores]
+        found = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
+        self.cores.learn({w: array.array("I", e.ids).tobytes() for w, e in zip(asked, found)})
+        get = self.cores.__getitem__
+        self.words.learn({w: get(a) + get(b) for w, a, b in zip(words, cores, tails)})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
-        unknown = set(chain.from_iterable(split)).difference(self.words)
-        unknown.discard("")
+        words = self.words
+        unknown = {w for w in set(chain.from_iterable(split)) if w not in words}
         if unknown:
-            learnt = self._learn(unknown)
-            if len(self.words) + len(learnt) > _MAX_WORDS:
-                used = set(chain.from_iterable(split))
-                self.words = {w: self.words[w] for w in used if w in self.words}
-            self.words.update(learnt)
-        self.words[""] = b""
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            self._learn(list(unknown))
+        get = words.__getitem__
+        return [b"".join(map(get, row)) for row in split]
 
 
 def encoder(path: str) -> WordEncoder:

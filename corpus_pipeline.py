@@ -1,11 +1,16 @@
-"""Cleans and packs ``documents`` in stages; each stage is written and read again by the next."""
+"""Cleans and packs ``documents`` in stages; each stage is written and read again by the next.
+
+Null texts fail the quality rules, so later stages never see them. Rows with a null key pass like others;
+they are dropped as near-duplicates never, as no key names them. Empty tables pass through. Extra columns stay
+until packing, whose result has columns of its own.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embedspark.llm import packing, quality_rules
+from embedspark.llm import classifier, near_dedup, packing, quality_rules, suffix_dedup
 from embedspark.llm.common import table
 from embedspark.session import written
 
@@ -15,14 +20,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.keep_good(docs)
 
 
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on these documents, scores as good."""
+    return classifier.keep_positive(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dedup.keep_first(docs)
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without long repeated strings; what a cut leaves of a character goes too."""
+    return suffix_dedup.without_repeats(docs, sizes={"n_chars": F.length})
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces: doc_id, piece, start, length, ids, sequence_id, offset."""
     pieces = packing.cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
     return packing.pack(pieces, capacity=4096)
 
 
-STAGES = [("quality rules", quality_stage), ("best-fit packing", packing_stage)]
-#: Hash-based grouping and trained scores have no SQL form; tests compare the stages with brute force.
+STAGES = [
+    ("quality rules", quality_stage),
+    ("quality classifier", classifier_stage),
+    ("near-dedup", near_dedup_stage),
+    ("suffix-array dedup", suffix_dedup_stage),
+    ("best-fit packing", packing_stage),
+]
+#: Trained scores and token ids have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,3 +57,40 @@ def text_slices(batch: pa.RecordBatch, column: str, max_chars: int = 4_000_000):
         held += int(size)
     if batch.num_rows > first:
         yield batch.slice(first)
+
+
+_BUCKETS = 1 << 18
+
+
+def near_rows(rows: DataFrame, wanted: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``column`` may be among the wanted values, and rows for which it surely is not.
+
+    Compares hash buckets: the broadcast holds at most 2**18 numbers whatever the tables' size. It
+    only spares the sure ones a shuffle; where buckets fill up, fewer rows are spared.
+    """
+    bucket = F.coalesce(F.pmod(F.xxhash64(column), F.lit(_BUCKETS)), F.lit(-1)).alias("_bucket")
+    buckets = F.broadcast(wanted.select(bucket).distinct())
+    tagged = rows.withColumn("_bucket", bucket)
+    near, far = (tagged.join(buckets, "_bucket", how).drop("_bucket") for how in ("left_semi", "left_anti"))
+    return near, far
+
+
+def whole_groups(batches, column: str, rows_at_once: int = 8192):
+    """Tables that hold whole groups of neighbouring rows with the same value of ``column``."""
+    held, count = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count < rows_at_once:
+            continue
+        table_ = pa.Table.from_batches(held).combine_chunks()
+        value = np.asarray(table_.column(column).combine_chunks())
+        cut = int(np.flatnonzero(value != value[-1]).max(initial=-1)) + 1
+        if cut:
+            yield table_.slice(0, cut)
+            held = table_.slice(cut).combine_chunks().to_batches()
+            count = table_.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embedspark.llm import classifier, line_dedup, packing, quality_rules, sharding, token_files
+from embedspark.llm import classifier, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_files
 from embedspark.llm.common import table
 from embedspark.session import shared_folder
 
@@ -71,3 +71,22 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier place has already."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of strings of 200 bytes that start at two places."""
+    found = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.octet_length("bytes").cast("bigint").alias("n_bytes"),
+        (F.octet_length("bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@_query
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))

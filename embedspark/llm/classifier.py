@@ -175,7 +175,7 @@ def estimate_prior(scores: DataFrame) -> float:
         return 0.5
     above_u, above_p = both[:, 0] / n, both[:, 1] / np_
     slack = 1 / np.sqrt(n) + 1 / np.sqrt(np_)
-    usable = above_p > 0.05
+    usable = above_p > 0.5  # beyond, a fit to few rows flatters the positives it has seen
     quotient = (above_u[usable] + slack) / above_p[usable]
     return float(np.clip(quotient.min(), 0.02, 0.999))
 
@@ -207,9 +207,9 @@ def fit(
     if not len(positive) or not len(unlabelled):
         return None
     prior = 0.5
-    for steps in (600, 1500):  # the first fit only serves to estimate the prior
+    for steps in (300, 1500):  # the first fit only serves to estimate the prior
         model = Model(positive, unlabelled, prior, steps=steps)
-        if steps == 600:
+        if steps == 300:
             prior = estimate_prior(_scored(marked, model, ["positive"]))
     model.prior = prior
     return model

@@ -46,7 +46,7 @@ def long_list(values: list[np.ndarray], kind: str = "i8") -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind)))
 
 
-def text_slices(batch: pa.RecordBatch, column: str, max_chars: int = 4_000_000):
+def text_slices(batch: pa.RecordBatch, column: str, max_chars: int = 1_000_000):
     """Parts of a batch that hold about so many bytes of text, one row at least."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
     first, held = 0, 0

@@ -15,6 +15,7 @@ from embedspark.llm.common import per_worker
 
 _PUNCTUATION = ".,;:!?*#$%&|"
 _MAX_WORDS = 1 << 18
+_AT_ONCE = 4096
 
 
 def _core(word: str) -> str:
@@ -60,8 +61,12 @@ class WordEncoder:
         cores = [_core(word) for word in words]
         tails = [word[len(core) :] for word, core in zip(words, cores)]
         asked = [w for w in {*cores, *tails} if w not in self.cores]
-        found = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
-        self.cores.learn({w: array.array("I", e.ids).tobytes() for w, e in zip(asked, found)})
+        new = {}
+        for first in range(0, len(asked), _AT_ONCE):  # the library's results are large
+            some = asked[first : first + _AT_ONCE]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                new[word] = array.array("I", found.ids).tobytes()
+        self.cores.learn(new)
         get = self.cores.__getitem__
         self.words.learn({w: get(a) + get(b) for w, a, b in zip(words, cores, tails)})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embedspark.llm import classifier, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_files
+from embedspark.llm import classifier, line_dedup, near_dedup, nearest, packing, quality_rules, sharding, suffix_dedup, token_files
 from embedspark.llm.common import table
 from embedspark.session import shared_folder
 
@@ -90,3 +90,9 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)

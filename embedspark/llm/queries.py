@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embedspark.llm import classifier, line_dedup, near_dedup, nearest, packing, quality_rules, sharding, suffix_dedup, token_files
+from embedspark.llm import classifier, line_dedup, near_dedup, nearest, packing, piece_sampling, quality_rules, sharding, suffix_dedup, token_files
 from embedspark.llm.common import table
 from embedspark.session import shared_folder
 
@@ -96,3 +96,16 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth vector."""
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@_query
+def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every document, and a digest of the text that it decodes to."""
+    docs = table(spark, sf_dir, "documents")
+    sampled = piece_sampling.sample_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return sampled.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

@@ -11,30 +11,49 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embedspark.llm import classifier, near_dedup, packing, quality_rules, suffix_dedup
-from embedspark.llm.common import table
+from embedspark.llm.common import discard, recording, table
 from embedspark.session import written
 
+_left: list[str] = []
 
+
+def _stage(function):
+    """A stage's own tables last until the next stage begins: its result has been written by then."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _left)
+        with recording(_left):
+            return function(spark, docs, sf_dir)
+
+    run_stage.__name__, run_stage.__doc__ = function.__name__, function.__doc__
+    return run_stage
+
+
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.keep_good(docs)
 
 
+@_stage
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on these documents, scores as good."""
     return classifier.keep_positive(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     return near_dedup.keep_first(docs)
 
 
+@_stage
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without long repeated strings; what a cut leaves of a character goes too."""
     return suffix_dedup.without_repeats(docs, sizes={"n_chars": F.length})
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces: doc_id, piece, start, length, ids, sequence_id, offset."""
     pieces = packing.cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)

@@ -23,8 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from embedspark.llm.common import text_slices
-from embedspark.session import written
+from embedspark.llm.common import text_slices, written
 
 MAX_ROWS = 20_000
 _BINS = 1000

@@ -5,11 +5,14 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from embedspark.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -94,3 +97,38 @@ def whole_groups(batches, column: str, rows_at_once: int = 8192):
             count = table_.num_rows - cut
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+_recorders: list[list[str]] = []
+
+
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """The table written to the shared folder and read back: a lost executor then repeats little."""
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession)
+    writer = df.write if codec is None else df.write.option("compression", codec)
+    writer.parquet(folder)
+    for folders in _recorders:
+        folders.append(folder)
+    table_ = spark.read.parquet(folder)
+    table_.folder = folder
+    return table_
+
+
+@contextmanager
+def recording(folders: list[str] | None = None):
+    """Notes the folders of all tables written inside."""
+    folders = [] if folders is None else folders
+    _recorders.append(folders)
+    try:
+        yield folders
+    finally:
+        del _recorders[next(i for i, own in enumerate(_recorders) if own is folders)]
+
+
+def discard(spark: SparkSession, folders: list[str], keep: tuple = ()) -> None:
+    """Deletes written tables that nothing will read any more."""
+    kept = {df.folder for df in keep}
+    for folder in [f for f in folders if f not in kept]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        folders.remove(folder)

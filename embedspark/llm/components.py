@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from embedspark.session import written
+from embedspark.llm.common import written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

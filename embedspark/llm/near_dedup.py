@@ -34,9 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from embedspark.llm.common import mix64, near_rows, per_worker, text_slices, unit, whole_groups
+from embedspark.llm.common import discard, mix64, near_rows, per_worker, recording, text_slices, unit, whole_groups, written
 from embedspark.llm.components import components
-from embedspark.session import written
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -45,7 +44,7 @@ REGISTERS = ROWS * BANDS
 BLOCK = 512
 #: 3.5 standard deviations of the estimate below the similarity asked for.
 LEAST_AGREEMENT = SIMILARITY - 3.5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
-_MAX_WORDS = 1 << 18
+_MAX_WORDS = 1 << 17
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -267,7 +266,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, with its own columns."""
-    classes = near_duplicates(docs, key, text)
-    gone = written(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct())
+    with recording() as folders:
+        classes = near_duplicates(docs, key, text)
+        gone = written(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct())
+    discard(docs.sparkSession, folders, keep=(gone,))
     near, far = near_rows(docs, gone, key)
     return near.join(gone, key, "left_anti").unionByName(far)

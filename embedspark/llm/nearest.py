@@ -23,8 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from embedspark.llm.common import whole_groups
-from embedspark.session import written
+from embedspark.llm.common import whole_groups, written
 
 SAMPLE = 8192
 PART_SAMPLE = 512

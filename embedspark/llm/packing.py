@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from embedspark.llm.common import text_slices
+from embedspark.llm.common import text_slices, written
 from embedspark.llm.tokens import encoder
-from embedspark.session import shared_folder, written
 
 
 def _cut(path: str, end_id: int, capacity: int):
@@ -65,9 +64,7 @@ def cut_documents(
         _cut(tokenizer, end_id, capacity),
         "doc_id bigint, piece int, start bigint, length bigint, ids binary, task bigint, nth bigint",
     )
-    folder = shared_folder(docs.sparkSession)
-    pieces.write.option("compression", "zstd").parquet(f"{folder}/pieces")
-    return docs.sparkSession.read.parquet(f"{folder}/pieces")
+    return written(pieces, codec="zstd")
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from embedspark.session import written
+from embedspark.llm.common import written
+
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent words of each language, whose histogram is compared.

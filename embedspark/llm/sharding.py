@@ -19,7 +19,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from embedspark.session import written
+from embedspark.llm.common import written
+
 
 _WORD = 60
 

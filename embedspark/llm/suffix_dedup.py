@@ -33,8 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from embedspark.llm.common import mix64, near_rows, whole_groups
-from embedspark.session import written
+from embedspark.llm.common import discard, mix64, near_rows, recording, whole_groups, written
 
 LENGTH = 200
 GRAM = 32
@@ -344,6 +343,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, max_
         F.count("*").alias("places"), (F.min("block") == F.max("block")).alias("plain")
     )
     repeated = written(blocks.join(anchors.where("places > 1").drop("places"), "anchor"))
+    discard(rows.sparkSession, [blocks.folder])
     spans = [repeated.where("plain").select("tie", "size", *_span("first", "windows", length))]
 
     mixed = repeated.where("not plain").drop("plain")
@@ -418,9 +418,11 @@ def dedup_substrings(
         F.xxhash64(text).alias("tie"),
         F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")).alias("bytes"),
     )
-    spans = repeated_spans(rows.select("tie", "bytes"), length, gram, max_group)
-    # Rows of equal text bring the same spans: sets are combined before the shuffle.
-    found = written(spans.groupBy("tie", "size").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    with recording() as folders:
+        spans = repeated_spans(rows.select("tie", "bytes"), length, gram, max_group)
+        # Rows of equal text bring the same spans: sets are combined before the shuffle.
+        found = written(spans.groupBy("tie", "size").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    discard(docs.sparkSession, folders, keep=(found,))
     near, far = near_rows(rows, found, "tie")
     near = near.withColumn("size", F.octet_length("bytes").cast("bigint")).join(found, ["tie", "size"], "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")

@@ -11,11 +11,13 @@ from __future__ import annotations
 import array
 from itertools import chain
 
+import numpy as np
+
 from embedspark.llm.common import per_worker
 
 _PUNCTUATION = ".,;:!?*#$%&|"
-_MAX_WORDS = 1 << 18
-_AT_ONCE = 4096
+_MAX_WORDS = 1 << 17
+_AT_ONCE = 2048
 
 
 def _core(word: str) -> str:
@@ -55,18 +57,40 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.cores = _Known(), _Known()
+        # Ids that end a word. Without any (another kind of tokenizer) words are always asked one by one.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _ask(self, words: list[str]) -> dict[str, bytes]:
+        """Ids from the library. Words of letters only are sent as one text and told apart by their last ids."""
+        letters = [w for w in words if w.isalpha()]
+        new: dict[str, bytes] = {}
+        others = [w for w in words if not w.isalpha()]
+        for first in range(0, len(letters), _AT_ONCE):
+            some = letters[first : first + _AT_ONCE]
+            ids = np.array(self._encode([" ".join(some)])[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):  # some word is more than one to the library
+                others += some
+                continue
+            data, before = ids.tobytes(), 0
+            for word, end in zip(some, (4 * ends).tolist()):
+                new[word] = data[before:end]
+                before = end
+        for first in range(0, len(others), _AT_ONCE):
+            some = others[first : first + _AT_ONCE]
+            new.update((w, array.array("I", e.ids).tobytes()) for w, e in zip(some, self._encode(some)))
+        return new
 
     def _learn(self, words: list[str]) -> None:
         """Ids of unknown words, put together from their letters and their closing punctuation."""
         cores = [_core(word) for word in words]
         tails = [word[len(core) :] for word, core in zip(words, cores)]
         asked = [w for w in {*cores, *tails} if w not in self.cores]
-        new = {}
-        for first in range(0, len(asked), _AT_ONCE):  # the library's results are large
-            some = asked[first : first + _AT_ONCE]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                new[word] = array.array("I", found.ids).tobytes()
-        self.cores.learn(new)
+        self.cores.learn(self._ask(asked))
         get = self.cores.__getitem__
         self.words.learn({w: get(a) + get(b) for w, a, b in zip(words, cores, tails)})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable
@@ -26,6 +27,19 @@ def per_worker(name: str, make: Callable):
     return getattr(store, name)
 
 
+def frugal(function):
+    """Makes an Arrow batch function give memory back to the system at its end, as idle workers live on."""
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Well spread 64-bit values from 64-bit values (a fixed bijection)."""
     x = x.astype(np.uint64, copy=True)
@@ -49,7 +63,7 @@ def long_list(values: list[np.ndarray], kind: str = "i8") -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind)))
 
 
-def text_slices(batch: pa.RecordBatch, column: str, max_chars: int = 1_000_000):
+def text_slices(batch: pa.RecordBatch, column: str, max_chars: int = 500_000):
     """Parts of a batch that hold about so many bytes of text, one row at least."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
     first, held = 0, 0

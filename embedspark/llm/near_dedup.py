@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from embedspark.llm.common import discard, mix64, near_rows, per_worker, recording, text_slices, unit, whole_groups, written
+from embedspark.llm.common import discard, frugal, mix64, near_rows, per_worker, recording, text_slices, unit, whole_groups, written
 from embedspark.llm.components import components
 
 SIMILARITY = 0.8
@@ -129,7 +129,7 @@ def _sign():
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return run
+    return frugal(run)
 
 
 def _agreement(registers: np.ndarray, i: np.ndarray | slice) -> np.ndarray:
@@ -192,7 +192,7 @@ def _cells(second: bool):
                 seen = np.unique(np.stack([a, b]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(seen[0]), pa.array(seen[1])], names=["a", "b"])
 
-    return run
+    return frugal(run)
 
 
 def _verify():
@@ -206,7 +206,7 @@ def _verify():
                     b.append(row["b"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+    return frugal(run)
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:

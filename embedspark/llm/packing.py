@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from embedspark.llm.common import text_slices, written
+from embedspark.llm.common import frugal, text_slices, written
 from embedspark.llm.tokens import encoder
 
 
@@ -48,7 +48,7 @@ def _cut(path: str, end_id: int, capacity: int):
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return cut
+    return frugal(cut)
 
 
 def cut_documents(

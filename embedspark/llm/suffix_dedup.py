@@ -26,6 +26,7 @@ the key. An empty table gives no rows. Further columns are kept.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from embedspark.llm.common import discard, mix64, near_rows, recording, whole_groups, written
+from embedspark.llm.common import discard, frugal, mix64, near_rows, recording, whole_groups, written
 
 LENGTH = 200
 GRAM = 32
@@ -103,7 +104,7 @@ def _find_blocks(length: int, gram: int):
             if parts:
                 yield _batch(parts)
 
-    return run
+    return frugal(run)
 
 
 _NAMES = ["anchor", "block", "tie", "size", "first", "before", "windows"]
@@ -135,7 +136,7 @@ def _cut_contexts(length: int):
                     names=names,
                 )
 
-    return run
+    return frugal(run)
 
 
 _CONTEXT_KINDS = [pa.int64()] * 6 + [pa.int32(), pa.int32(), pa.binary()]
@@ -290,7 +291,7 @@ def _settle(length: int):
         for rows in whole_groups(batches, "anchor"):
             yield spans(rows)
 
-    return run
+    return frugal(run)
 
 
 def _digest(data: bytes, *numbers: int) -> int:
@@ -324,7 +325,7 @@ def _divide(level: int, length: int):
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), _CONTEXT_KINDS)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return run
+    return frugal(run)
 
 
 def _span(start, windows, length: int):
@@ -363,11 +364,14 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, max_
     cut = needed.join(texts, ["tie", "size"]).select("tie", "size", "bytes", "blocks")
     open_ = written(cut.mapInArrow(_cut_contexts(length), _CONTEXT))
     level = (length - gram).bit_length() - 1
-    while level >= 0:
+    small = []
+    while True:
         sizes = open_.groupBy("anchor").agg(F.count("*").alias("members")).where(F.col("members") > max_group)
         hot = written(sizes.select("anchor"))
-        if hot.isEmpty():
+        if level < 0 or hot.isEmpty():
+            small.append(open_)
             break
+        small.append(written(open_.join(hot, "anchor", "left_anti")))
         parts = written(open_.join(hot, "anchor", "left_semi").mapInArrow(_divide(level, length), _CONTEXT))
         kinds = parts.groupBy("anchor", "block").agg(F.sum("n").alias("total"), F.min(place).alias("keeper"))
         joined = written(parts.join(kinds, ["anchor", "block"]))
@@ -375,9 +379,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, max_
             joined.where("n = 1 and total > 1").select("tie", "size", *_span("first", "windows", length))
         )
         rest = joined.where(place == F.col("keeper")).withColumn("n", F.col("total")).drop("total", "keeper")
-        open_ = written(open_.join(hot, "anchor", "left_anti").unionByName(rest.select(*open_.columns)))
+        open_ = written(rest.select(*open_.columns))  # only parts of hot anchors go on
         level -= 1
-    grouped = open_.repartition("anchor").sortWithinPartitions("anchor")
+    grouped = functools.reduce(DataFrame.unionByName, small)
+    grouped = grouped.repartition("anchor").sortWithinPartitions("anchor")
     spans.append(grouped.mapInArrow(_settle(length), "tie bigint, size bigint, start bigint, end bigint"))
     result = spans[0]
     for other in spans[1:]:
@@ -406,7 +411,7 @@ def _remove():
             columns = [batch.column("row"), batch.column("bytes"), pa.array(kept, pa.binary()), pa.array(found, spans_type)]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "bytes", "kept", "removed"])
 
-    return run
+    return frugal(run)
 
 
 def dedup_substrings(
@@ -442,7 +447,7 @@ def _decode():
             texts = [data.decode("utf-8", "ignore") for data in batch.column("kept").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "kept"])
 
-    return run
+    return frugal(run)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", sizes: dict | None = None, **settings) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embedspark.llm.common import long_list, text_slices
+from embedspark.llm.common import frugal, long_list, text_slices
 from embedspark.llm.tokens import encoder
 
 _SCHEMA = (
@@ -144,7 +144,7 @@ def _segments(path: str, end_id: int, segment_tokens: int):
         if rows:
             yield segment()
 
-    return encode
+    return frugal(encode)
 
 
 def write_token_files(
@@ -200,7 +200,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                     )
 
     segments = spark.read.parquet(folder).select("part", "start", "doc_ids", "lengths", "payload")
-    return segments.mapInArrow(documents, "doc_id bigint, start bigint, ids binary")
+    return segments.mapInArrow(frugal(documents), "doc_id bigint, start bigint, ids binary")
 
 
 def read_tokens(spark: SparkSession, folder: str, positions: DataFrame, position: str = "position") -> DataFrame:

@@ -281,16 +281,21 @@ def truncate_renormalise(spark, sf_dir):
   count(*) OVER (PARTITION BY conv_id) AS batch_size FROM conversations""",
 )
 def batch_unnest(spark, sf_dir):
-    """Ordered lists per conversation, taken apart again with their positions."""
-    batches = ops.assemble_batches(
-        wide_table(spark, sf_dir, "conversations"), "conv_id", "turn", ["text"]
-    )
-    return ops.unnest_batches(batches, "text").select(
-        "conv_id",
-        F.col("pos").cast("bigint").alias("pos"),
+    """Ordered lists per 16 turns of a conversation, taken apart again with their positions.
+
+    A conversation of any length loses nothing, and no list grows with it.
+    """
+    turns = wide_table(spark, sf_dir, "conversations")
+    part = F.expr("turn div 16")
+    chunks = turns.withColumn("chunk", F.struct("conv_id", part.alias("part")))
+    lists = ops.assemble_batches(chunks, "chunk", "turn", ["text"], max_batch=2**31 - 2)
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("batch_size"))
+    rows = ops.unnest_batches(lists.drop("batch_size"), "text").select(
+        F.col("chunk.conv_id").alias("conv_id"),
+        (F.col("chunk.part") * 16 + F.col("pos")).cast("bigint").alias("pos"),
         F.length("input").cast("bigint").alias("input_length"),
-        "batch_size",
     )
+    return rows.join(sizes, "conv_id").select("conv_id", "pos", "input_length", "batch_size")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations_with_replacement
+
 from pyspark.sql import functions as F
 
 from embedspark.functions import vectors
@@ -296,15 +298,9 @@ def batch_size_sensitivity(spark, sf_dir):
     )
 
 
-# The named mixes of length classes.
+# Every multiset of three length classes, named by its members.
 MIXES = {
-    "all short": ("short", "short", "short"),
-    "all long": ("very_long", "very_long", "very_long"),
-    "1 long + 2 short": ("very_long", "short", "short"),
-    "2 long + 1 short": ("very_long", "very_long", "short"),
-    "1 long + 1 medium + 1 short": ("very_long", "medium", "short"),
-    "1 short + 1 long + 1 short": ("short", "very_long", "short"),
-    "1 short + 1 medium + 1 long": ("short", "medium", "very_long"),
+    " + ".join(members): members for members in combinations_with_replacement(("short", "medium", "very_long"), 3)
 }
 MIXES_SQL = ", ".join(
     f"('{name}', '{member}')" for name, members in MIXES.items() for member in members

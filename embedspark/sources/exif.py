@@ -167,10 +167,9 @@ def exif_entries(payload: pa.Array) -> pa.Array:
 
 
 def _quoted(text: Column) -> Column:
-    """JSON string."""
-    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    plain = F.replace(F.replace(escaped, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
-    return F.concat(F.lit('"'), plain, F.lit('"'))
+    """JSON string, control characters escaped."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
 def shaped_value(entry: Column) -> Column:

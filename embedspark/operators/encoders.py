@@ -40,13 +40,16 @@ def _hashed_vectors(width: int, dim: int, normalize: bool):
             sums = np.bincount(cell, weights=np.sign(flat), minlength=len(chunk) * width)
             pooled = sums.reshape(len(chunk), width) / (lengths + SPECIAL_TOKENS)[:, None]
             parts.append((unit_rows(pooled) if normalize else pooled)[:, :dim])
-        return float_lists(np.concatenate(parts))
+        vectors = float_lists(np.concatenate(parts))
+        if codes.null_count:  # no text, no vector
+            vectors = pa.ListArray.from_arrays(vectors.offsets, vectors.values, mask=codes.is_null())
+        return vectors
 
     return once_per_row(encode)
 
 
 class HashingTextEncoder:
-    """Signed feature hashing. Special tokens count in the mean but have zero vectors."""
+    """Signed feature hashing. Special tokens count in the mean but have zero vectors; NULL gives NULL."""
 
     def __init__(self, width: int = DEFAULT_DIM):
         self.width = width

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from embedspark.operators.ranks import rank_values
+from embedspark.operators.ranks import null_safe_join, rank_values
 from embedspark.session import written
 
 # The reported quantiles.
@@ -38,9 +38,9 @@ def endpoint_counts(log: DataFrame, *groups: str) -> DataFrame:
 
 
 def endpoint_summary(log: DataFrame, *groups: str) -> DataFrame:
-    """``endpoint_counts`` with exact percentiles over all requests."""
+    """``endpoint_counts`` with exact percentiles over all requests; NULL where a group has no latency."""
     ranks = rank_values(log, list(groups), "latency_ms", QUANTILES)
-    return endpoint_counts(log, *groups).join(ranks, list(groups))
+    return null_safe_join(endpoint_counts(log, *groups), ranks, list(groups), "left")
 
 
 def approximate_summary(log: DataFrame, *groups: str, accuracy: int = 10000) -> DataFrame:
@@ -48,7 +48,7 @@ def approximate_summary(log: DataFrame, *groups: str, accuracy: int = 10000) ->
     ranks = F.percentile_approx("latency_ms", list(QUANTILES.values()), accuracy)
     parts = log.groupBy(*groups).agg(ranks.alias("_r"))
     named = parts.select(*groups, *[F.col("_r")[i].alias(n) for i, n in enumerate(QUANTILES)])
-    return endpoint_counts(log, *groups).join(named, list(groups))
+    return null_safe_join(endpoint_counts(log, *groups), named, list(groups), "left")
 
 
 def batch_size_summary(log: DataFrame, *groups: str) -> DataFrame:
@@ -68,7 +68,7 @@ def batch_size_summary(log: DataFrame, *groups: str) -> DataFrame:
         F.avg("tokens").alias("mean_tokens"),
         F.when(mean > 0, F.avg("tokens") * 1000.0 / mean).otherwise(F.lit(0.0)).alias("tokens_per_second"),
     )
-    return moments.join(rank_values(good, keys, "latency_ms", QUANTILES), keys)
+    return null_safe_join(moments, rank_values(good, keys, "latency_ms", QUANTILES), keys, "left")
 
 
 def batch_means(log: DataFrame, *groups: str) -> DataFrame:
@@ -90,7 +90,7 @@ def speedup_vs_single(means: DataFrame, *groups: str) -> DataFrame:
     """Speedup against doing the same items one by one; 1.0 without a baseline or for one item."""
     base = means.where("batch_size = 1").select(*groups, F.col("latency_mean").alias("_base"))
     faster = F.col("_base") * F.col("batch_size") / F.col("latency_mean")
-    joined = means.join(base, list(groups), "left")
+    joined = null_safe_join(means, base, list(groups), "left")
     return joined.withColumn(
         "speedup", F.when(F.col("batch_size") > 1, F.coalesce(faster, F.lit(1.0))).otherwise(F.lit(1.0))
     ).drop("_base")
@@ -182,7 +182,7 @@ def variant_benchmark(log: DataFrame, sizes: tuple[int, ...] = (1, 4, 8)) -> Dat
         )
     )
     single = rows.where("batch_size = 1").select("variant", F.col("mean").alias("_single"))
-    return rows.join(single, "variant", "left").withColumn(
+    return null_safe_join(rows, single, ["variant"], "left").withColumn(
         "speedup", F.col("_single") / F.col("per_image")
     ).drop("_single")
 

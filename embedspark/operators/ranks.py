@@ -10,6 +10,8 @@ only if its real size allows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from embedspark.session import written
@@ -18,6 +20,13 @@ _PER_DECADE = 512
 _PARTS = 4096
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys in which NULL equals NULL; the keys of the left side stay."""
+    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    same = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_right_{key}")) for key in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{key}" for key in keys])
+
+
 def _coarse(value: Column) -> Column:
     """Monotone bucket number; a value range of nine decades gives about 10,000 buckets."""
     size = F.floor(F.log1p(F.abs(value)) * (_PER_DECADE / 2.302585))
@@ -43,7 +52,10 @@ def _containing(histogram: DataFrame, keys: list[str], order: str, position: Col
 def rank_values(
     df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
-    """One row per group with a column per quantile: the value at 0-based index floor(n * q)."""
+    """One row per group with a column per quantile: the value at 0-based index floor(n * q).
+
+    NULL is a group like any other. Groups without a value have no row.
+    """
     data = df.select(*groups, F.col(value).cast("double").alias("_v")).where("_v is not null")
     bucketed = data.withColumn("_bucket", _coarse(F.col("_v")))
 
@@ -67,7 +79,7 @@ def rank_values(
     )
 
     keys = [*groups, "_name"]
-    parted = bucketed.join(first, [*groups, "_bucket"]).withColumn(
+    parted = null_safe_join(bucketed, first, [*groups, "_bucket"]).withColumn(
         "_place", _part(F.col("_v"), F.col("_low"), F.col("_high"))
     )
     fine = parted.groupBy(*keys, "_bucket", "_low", "_high", "position", "_place").agg(
@@ -80,7 +92,7 @@ def rank_values(
     )
 
     narrowed = (
-        bucketed.join(second, [*groups, "_bucket"])
+        null_safe_join(bucketed, second, [*groups, "_bucket"])
         .where(_part(F.col("_v"), F.col("_low"), F.col("_high")) == F.col("_place"))
         .groupBy(*keys, "position", "_v")
         .agg(F.count("*").alias("n"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from embedspark.constants import BROADCAST_BYTES
 from embedspark.functions.arrow import blocks
 
-_CORPUS_ROWS = 4096
+_SCORES = 1 << 22
 _SCHEMA = "query_id bigint, item_id bigint, score double"
 
 
@@ -35,6 +35,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return parts[0][1]
 
 
+def _rows_at_once(n_queries: int) -> int:
+    """Corpus rows per score block, so that a block holds about ``_SCORES`` scores."""
+    return max(1, _SCORES // max(1, n_queries))
+
+
 def _candidates(q_ids, q, c_ids, c, k, digits):
     """Top k of every query among one corpus block, ties at the border included."""
     scores = np.round(q @ c.T, digits) + 0.0
@@ -61,8 +66,9 @@ def _search_partition(block, k, digits):
         q_ids, q = block.value
         best = None
         for batch in batches if len(q_ids) else ():
-            for first in range(0, batch.num_rows, _CORPUS_ROWS):
-                part = batch.slice(first, _CORPUS_ROWS)
+            step = _rows_at_once(len(q_ids))
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
                 c_ids = part.column(0).to_numpy(zero_copy_only=False)
                 found = _candidates(q_ids, q, c_ids, _matrix(part.column(1)), k, digits)
                 if best is not None:
@@ -83,8 +89,9 @@ def _search_cell(k, digits):
         q = np.stack(queries["vector"].to_numpy()).astype("f8")
         q_ids = queries["id"].to_numpy()
         ids, best = corpus["id"].to_numpy(), None
-        for first in range(0, len(corpus), _CORPUS_ROWS):
-            rows = slice(first, first + _CORPUS_ROWS)
+        step = _rows_at_once(len(q_ids))
+        for first in range(0, len(corpus), step):
+            rows = slice(first, first + step)
             c = np.stack(corpus["vector"].to_numpy()[rows]).astype("f8")
             found = _candidates(q_ids, q, ids[rows], c, k, digits)
             if best is not None:
@@ -126,9 +133,13 @@ def top_k_neighbors(
     max_broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = 8192,
 ) -> DataFrame:
-    """The k most similar corpus items of every query: query_id, rank, item_id, score."""
+    """The k most similar corpus items of every query: query_id, rank, item_id, score.
+
+    Rows whose vector is NULL take no part on either side.
+    """
     q = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(vector).alias("vector"))
     c = corpus.select(F.col(item_id).cast("bigint").alias("id"), F.col(vector).alias("vector"))
+    q, c = (side.where(F.col("vector").isNotNull()) for side in (q, c))
     # One combined row answers whether the query side is small enough to be sent to every task.
     size = q.agg(F.count("*").alias("rows"), F.max(F.size("vector")).alias("width")).first()
     if (size["rows"] * (size["width"] or 0)) * 8 <= max_broadcast_bytes:

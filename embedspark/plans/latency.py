@@ -112,9 +112,7 @@ SELECT endpoint, arg_max(batch_size, items_per_second) AS best_throughput_batch,
 )
 def best_and_worst(spark, sf_dir):
     rows = ops.extremes(means(spark, sf_dir), "endpoint")
-    return rounded(rows.drop("improvement_percent"), "endpoint").join(
-        rows.select("endpoint", r6("improvement_percent", 3).alias("improvement_percent")), "endpoint"
-    )
+    return rounded(rows.withColumn("improvement_percent", r6("improvement_percent", 3)), "endpoint")
 
 
 # A scan per endpoint and user: few runs each, so that some scans degrade early.

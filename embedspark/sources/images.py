@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from embedspark.constants import MAX_IMAGE_BYTES
+from embedspark.functions import payload as fn
 from embedspark.functions.arrow import once_per_row
 
 PACKED = T.StructType(
@@ -30,9 +31,19 @@ _IMAGES_PER_BATCH = 64
 
 
 def image_files(spark: SparkSession, path: str, limit: int = MAX_IMAGE_BYTES) -> DataFrame:
-    """Raw image files up to the size limit; the limit is pushed into the scan."""
+    """Every image file as path, length, status and payload; files above the limit have no payload.
+
+    The length test goes into both scans, so that contents of refused files are never read.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.where(F.col("length") <= limit).select("path", "length", F.col("content").alias("payload"))
+    length = F.col("length")
+    accepted = files.where(length <= limit).select(
+        "path", "length", fn.status(fn.OK).alias("status"), F.col("content").alias("payload")
+    )
+    refused = files.where(length > limit).select(
+        "path", "length", fn.size_status(length, limit).alias("status"), F.lit(None).cast("binary").alias("payload")
+    )
+    return accepted.unionByName(refused)
 
 
 @F.arrow_udf(T.BinaryType())
@@ -50,14 +61,16 @@ def _swap_channels(data: pa.Array, channels: pa.Array) -> pa.Array:
 
 
 def decoded_files(spark: SparkSession, path: str) -> DataFrame:
-    """Image files decoded by Spark's image source as packed images; unreadable files are dropped."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path)
+    """Image files decoded by Spark's image source as packed images; unreadable ones have only ``error``."""
+    images = spark.read.format("image").option("dropInvalid", False).load(path)
+    valid = F.col("image.width") > 0
     return images.select(
         F.col("image.origin").alias("path"),
-        F.col("image.width").cast("bigint").alias("w"),
-        F.col("image.height").cast("bigint").alias("h"),
-        F.col("image.nChannels").alias("channels"),
-        _swap_channels("image.data", "image.nChannels").alias("data"),
+        F.when(valid, F.col("image.width").cast("bigint")).alias("w"),
+        F.when(valid, F.col("image.height").cast("bigint")).alias("h"),
+        F.when(valid, F.col("image.nChannels")).alias("channels"),
+        F.when(valid, _swap_channels("image.data", "image.nChannels")).alias("data"),
+        F.when(~valid, F.lit("Failed to decode image")).alias("error"),
     )
 
 

@@ -182,11 +182,14 @@ def test_files_through_the_image_source(spark, tmp_path):
         (tmp_path / f"{i}.png").write_bytes(png_bytes(picture(i, 9, 7)[:, :, :channels], 0))
     (tmp_path / "broken.png").write_bytes(b"nothing")
     got = {r["path"].rsplit("/", 1)[1]: r for r in decoded_files(spark, str(tmp_path)).collect()}
-    assert set(got) == {"1.png", "2.png"}
+    assert set(got) == {"1.png", "2.png", "broken.png"}
+    assert got["broken.png"]["data"] is None and got["broken.png"]["error"] == "Failed to decode image"
     for i, channels in ((1, 3), (2, 4)):
         assert bytes(got[f"{i}.png"]["data"]) == picture(i, 9, 7)[:, :, :channels].tobytes()
+        assert got[f"{i}.png"]["error"] is None
     files = image_files(spark, str(tmp_path), limit=100)
-    assert [r["path"].rsplit("/", 1)[1] for r in files.collect()] == ["broken.png"]
+    found = {r["path"].rsplit("/", 1)[1]: (r["status"]["code"], r["payload"]) for r in files.collect()}
+    assert found == {"1.png": (400, None), "2.png": (400, None), "broken.png": (200, b"nothing")}
     assert "LessThanOrEqual(length,100)" in files._jdf.queryExecution().executedPlan().toString()
 
 

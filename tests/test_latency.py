@@ -86,3 +86,15 @@ def test_approximate_summary_is_close(spark):
     row = ops.approximate_summary(df, "endpoint").first()
     assert row["total"] == 1000 and row["successful"] == 500
     assert row["p95"] == pytest.approx(950, abs=2)
+
+
+def test_null_keys_and_groups_without_values_keep_their_rows(spark):
+    rows = [(None, "2024-01-01 00:00:00", 5.0, True, 1), ("a", "2024-01-01 00:00:00", 7.0, False, 1), ("b", "2024-01-01 00:00:00", None, True, 1)]
+    log = spark.createDataFrame(rows, "endpoint string, started_at string, latency_ms double, success boolean, batch_size int")
+    log = log.withColumns({"started_at": F.col("started_at").cast("timestamp"), "tokens": F.lit(3)})
+    got = {r["endpoint"]: (r["total"], r["p50"]) for r in ops.endpoint_summary(log, "endpoint").collect()}
+    assert got == {None: (1, 5.0), "a": (1, 7.0), "b": (1, None)}
+    sized = {r["endpoint"]: r["p95"] for r in ops.batch_size_summary(log, "endpoint").collect()}
+    assert sized == {None: 5.0, "b": None}
+    means = spark.createDataFrame([(None, 1, 4.0), (None, 2, 4.0)], "g string, batch_size int, latency_mean double")
+    assert sorted(r["speedup"] for r in ops.speedup_vs_single(means, "g").collect()) == [1.0, 2.0]

@@ -52,3 +52,10 @@ def test_overlap(spark):
     b = spark.createDataFrame([(1, 1, 11), (1, 2, 12)], "query_id int, rank int, item_id int")
     rows = {r["query_id"]: r["overlap"] for r in search.overlap_at_k(a, b, 2).collect()}
     assert rows == {1: 0.5, 2: 0.0}
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_rows_without_a_vector_take_no_part(spark, limit):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id bigint, embedding array<double>")
+    found = search.top_k_neighbors(rows, rows, 5, "id", "id", max_broadcast_bytes=limit).collect()
+    assert {(r["query_id"], r["rank"], r["item_id"]) for r in found} == {(1, 1, 1), (1, 2, 3), (3, 1, 3), (3, 2, 1)}

@@ -51,9 +51,9 @@ PIXELS_SQL = f"""{IMAGES_SQL},
 pixel_index AS (SELECT image_id, w, h, unnest(range(w * h)) AS idx FROM images),
 pixels AS (
   SELECT image_id, w, h, idx, idx % w AS x, idx // w AS y,
-    (idx % w + image_id) % 256 AS r,
-    (idx // w + 2 * image_id) % 256 AS g,
-    (idx % w + idx // w + 3 * image_id) % 256 AS b,
+    (20 + 4 * (idx % w // 3) + 37 * image_id) % 256 AS r,
+    (90 + 2 * (idx // w) + 5 * (image_id % 17)) % 256 AS g,
+    ((idx % w) * (idx // w) // 6 + 11 * image_id) % 256 AS b,
     CASE WHEN image_id % 50 = 0 THEN 0
          ELSE (7 * (idx % w) + 13 * (idx // w) + image_id) % 256 END AS a
   FROM pixel_index)"""
@@ -80,9 +80,9 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumns({"x": F.col("idx") % F.col("w"), "y": F.floor(F.expr("idx div w"))})
         .withColumns(
             {
-                "r": (x + key) % 256,
-                "g": (y + 2 * key) % 256,
-                "b": (x + y + 3 * key) % 256,
+                "r": (20 + 4 * F.floor(x / 3) + 37 * key) % 256,
+                "g": (90 + 2 * y + 5 * (key % 17)) % 256,
+                "b": (F.floor(x * y / 6) + 11 * key) % 256,
                 "a": F.when(key % 50 == 0, F.lit(0)).otherwise((7 * x + 13 * y + key) % 256),
             }
         )

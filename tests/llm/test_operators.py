@@ -229,7 +229,6 @@ def test_piece_sampling(odd, empty):
 
 def test_sampled_shares_match_the_weights():
     vocabulary = piece_sampling.Vocabulary(PIECES, 1.0)
-    lattices = piece_sampling._Lattices(vocabulary)
 
     def ways(rest):
         if not rest:
@@ -244,7 +243,7 @@ def test_sampled_shares_match_the_weights():
         shares = np.array([math.prod(vocabulary.weights[i] for i in w) for w in all_ways])
         shares /= shares.sum()
         seeds = np.random.default_rng(4).integers(0, 2**62, 20_000)
-        drawn = Counter(tuple(ids.tolist()) for ids in piece_sampling.sample([word] * len(seeds), seeds, vocabulary, lattices))
+        drawn = Counter(tuple(ids.tolist()) for ids in piece_sampling.sample([word] * len(seeds), seeds, vocabulary))
         assert set(drawn) <= set(all_ways)
         for way, share in zip(all_ways, shares):
             assert abs(drawn[way] / len(seeds) - share) < 5 * math.sqrt(share / len(seeds)) + 1e-4

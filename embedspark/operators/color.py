@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from embedspark.constants import ALPHA_THRESHOLD, GEOMETRIC_EPS, HUE_EPS, THUMBNAIL_SIZE
 from embedspark.functions import color as fn
+from embedspark.functions.resample import resize, to_bytes
 
 CHANNELS = ("r", "g", "b")
 
@@ -131,16 +132,25 @@ def _hsv_single(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return hue, saturation, high
 
 
-def packed_histogram(images: DataFrame, image: str = "image_id") -> DataFrame:
+def packed_histogram(images: DataFrame, image: str = "image_id", limit: int | None = None) -> DataFrame:
     """``cluster_histogram`` straight from packed images (w, h, channels, data).
 
     The pixels never become rows: a task turns each picture into its few hundred clusters. Use it
-    for picture bytes; the long form is for pixels that already are rows.
+    for picture bytes; the long form is for pixels that already are rows. Pictures with a side above
+    ``limit`` are shrunk to their thumbnails first, in the same pass.
     """
     kind = images.schema[image].dataType.simpleString()
     sums = ", ".join(f"sum_{c} double, log_{c} double" for c in CHANNELS)
     schema = f"{image} {kind}, key int, cnt bigint, first_pixel bigint, {sums}"
     ten = np.float32(10)
+    shape = ["w", "h", "channels", "data"]
+
+    def shrunk(w: int, h: int, channels: int, data: bytes) -> bytes:
+        if limit is None or max(w, h) <= limit:
+            return data
+        goal = [max(1, side * limit // max(w, h)) for side in (w, h)]
+        pixels = np.frombuffer(data, np.uint8).reshape(h, w, channels)
+        return to_bytes(resize(pixels, *goal, "lanczos")).tobytes()
 
     def clusters(data: bytes, channels: int) -> list[np.ndarray]:
         pixels = np.frombuffer(data, np.uint8).reshape(-1, channels)
@@ -168,7 +178,7 @@ def packed_histogram(images: DataFrame, image: str = "image_id") -> DataFrame:
             keys, parts = [], []
             for row in batch.to_pylist():
                 if row["data"] is not None:
-                    parts.append(clusters(row["data"], row["channels"]))
+                    parts.append(clusters(shrunk(**{c: row[c] for c in shape}), row["channels"]))
                     keys += [row[image]] * len(parts[-1][0])
             if keys:
                 columns = [np.concatenate(part) for part in zip(*parts)]
@@ -177,7 +187,7 @@ def packed_histogram(images: DataFrame, image: str = "image_id") -> DataFrame:
                 names += [f"{part}_{c}" for c in CHANNELS for part in ("sum", "log")]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return images.select(image, "channels", "data").mapInArrow(run, schema)
+    return images.select(image, *shape).mapInArrow(run, schema)
 
 
 def dominant_clusters(histogram: DataFrame, first_seen: bool = False, image: str = "image_id") -> DataFrame:
@@ -251,6 +261,7 @@ def image_statistics(
 ) -> DataFrame:
     """Colour data of every image; images without valid pixels keep their row with NULL colours.
 
+    ``pixels`` are those of the thumbnails; ``packed_statistics`` shrinks larger pictures itself.
     ``twin`` applies the comparison rules: double precision, clamping on the 8-bit scale, halves to
     even and ties to the cluster seen first.
     """
@@ -266,8 +277,9 @@ def assemble_statistics(
     method: Column | None = None,
     default_method: str = "geometric",
     twin: bool = False,
+    limit: int = THUMBNAIL_SIZE,
 ) -> DataFrame:
-    """``image_statistics`` from clusters, however they were made; other image columns are kept."""
+    """``image_statistics`` from clusters of the thumbnails, however they were made; other image columns are kept."""
     scale = 255.0 if twin else 1.0
     totals = image_totals(histogram, first_seen=twin)
     chosen = F.coalesce(method if method is not None else F.lit(None).cast("string"), F.lit(default_method))
@@ -277,7 +289,7 @@ def assemble_statistics(
         average_color(F.col("method"), scale, twin).alias("avg_color"),
         dominant_color(twin).alias("dominant_color"),
     )
-    new_w, new_h = thumbnail_size(F.col("w"), F.col("h"))
+    new_w, new_h = thumbnail_size(F.col("w"), F.col("h"), limit)
     kept = [c for c in images.columns if c not in ("channels", "data")]
     return joined.select(
         *kept,
@@ -289,6 +301,16 @@ def assemble_statistics(
     )
 
 
+def packed_statistics(
+    images: DataFrame,
+    method: Column | None = None,
+    default_method: str = "geometric",
+    limit: int = THUMBNAIL_SIZE,
+) -> DataFrame:
+    """Colour data of packed images, computed on their thumbnails."""
+    return assemble_statistics(images, packed_histogram(images, limit=limit), method, default_method, limit=limit)
+
+
 def top_clusters(histogram: DataFrame, n: int = 5, require_full: bool = True, image: str = "image_id") -> DataFrame:
     """The n largest clusters per image; with ``require_full`` only where at least n exist."""
     order = Window.partitionBy(image).orderBy(F.desc("cnt"), "key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from embedspark.functions import payload as fn
-from embedspark.operators.color import assemble_statistics, packed_histogram
+from embedspark.operators.color import packed_statistics
 from embedspark.operators.text import embed_texts
 from embedspark.plans.binary_fixtures import metadata_payloads, packed_images, png_payloads
 from embedspark.plans.color_sql import CLUSTERS_SQL, hex_sql
@@ -303,7 +303,7 @@ def stats_rows(spark, sf_dir):
     """The full answer per image from bytes: metadata and colours, clusters made inside the tasks."""
     packed = packed_images(spark, sf_dir)
     meta = exif.with_exif(metadata_payloads(spark, sf_dir))
-    colors = assemble_statistics(packed, packed_histogram(packed))
+    colors = packed_statistics(packed)
     rows = colors.join(meta, "image_id", "left")
     average, dominant = F.col("color_data.avg_color"), F.col("color_data.dominant_color")
     return rows.select(

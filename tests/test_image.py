@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from embedspark.constants import IMAGE_MEAN, IMAGE_STD
 from embedspark.functions.resample import resize, to_bytes, weights
-from embedspark.operators import image as ops
+from embedspark.operators import color, image as ops
 from embedspark.plans.binary_fixtures import metadata_bytes, picture, png_bytes
 from embedspark.sources import exif
 from embedspark.sources.images import decode_png, decoded_files, explode_pixels, image_files
@@ -125,6 +125,19 @@ def test_thumbnails_only_shrink(spark):
     assert bytes(got[2]["data"]) == rows[1][4]
 
 
+def test_statistics_come_from_the_thumbnail(spark):
+    rows = [(1, 600, 100, 4, picture(1, 600, 100).tobytes()), (2, 8, 8, 4, picture(2, 8, 8).tobytes()), (3, None, None, 3, None)]
+    df = spark.createDataFrame(rows, PACKED)
+    got = {r["image_id"]: r for r in color.packed_statistics(df, default_method="arithmetic").collect()}
+    small = to_bytes(resize(picture(1, 600, 100), 512, 85, "lanczos"))
+    seen = small[small[:, :, 3] >= 128][:, :3] / 255
+    assert (got[1]["w"], got[1]["h"], got[1]["processed_w"], got[1]["processed_h"]) == (600, 100, 512, 85)
+    assert got[1]["valid_pixels"] == len(seen) < 512 * 85
+    assert list(got[1]["color_data"]["avg_color"]["rgb"]) == pytest.approx(seen.mean(0).tolist(), abs=1e-6)
+    assert got[2]["valid_pixels"] == (picture(2, 8, 8)[:, :, 3] >= 128).sum()
+    assert got[3]["valid_pixels"] == 0 and got[3]["color_data"] is None
+
+
 def test_class_vectors_shapes():
     out = np.arange(24.0).reshape(2, 3, 4)
     assert ops.class_vectors(out, 2, 4).tolist() == [[0, 1, 2, 3], [12, 13, 14, 15]]

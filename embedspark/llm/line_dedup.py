@@ -4,7 +4,8 @@ The lines of all texts are normalised (lower case, single blanks) and digested.
 digest the earliest by (key, text hash, line number) stays, all others go. What is removed is told by
 line number and by original offsets.
 
-Lines with fewer than ``min_words`` words are never removed. Null texts stay null. Null keys come last
+Lines with fewer than ``min_words`` words are never removed; with 1 every line that holds a word takes
+part, and only blank lines stay for sure. Null texts stay null. Null keys come last
 in the order. Rows with the same key and the same text are one document: they get the same result.
 An empty table gives no rows. Further columns are ignored.
 """

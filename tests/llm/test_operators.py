@@ -271,6 +271,27 @@ def test_line_dedup(docs, odd, empty, texts):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def lines_kept(rows):
+    """What line deduplication leaves of (key, text) rows with a key each, without a floor."""
+    seen, kept = set(), {}
+    for key, text in sorted(rows):
+        for line in text.split("\n"):
+            words = tuple(line.lower().split())
+            if not words or words not in seen:
+                kept.setdefault(key, []).append(line)
+            seen.add(words)
+    return {key: "\n".join(kept.get(key, [])) for key, _ in rows}
+
+
+def test_line_dedup_query_has_no_floor(spark, texts, tmp_path):
+    short = [(-2, "Home\nAbout us\n\none two three four\nhome"), (-1, "\n \nhome\n  ABOUT   us\nNew\n"), (-3, "new")]
+    rows = short + sorted(texts.items())
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["text"] for r in queries.QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    assert found == lines_kept(rows)
+    assert found[-2] == "Home\nAbout us\n\none two three four" and found[-1] == "\n \n"
+
+
 def brute_spans(data, length):
     places = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     out = []

@@ -326,20 +326,31 @@ SELECT c.conv_id, count(*) AS items, list(e.tokens ORDER BY c.turn)::VARCHAR AS
 FROM conversations c JOIN emb e ON e.turn_id = c.conv_id * 100 + c.turn GROUP BY c.conv_id""",
 )
 def batch_embed(spark, sf_dir):
-    """Every turn embedded on its own, then regrouped in order per conversation."""
+    """Every turn embedded on its own, then regrouped in order per conversation.
+
+    A conversation may have any number of turns: vectors become numbers before they move, and only
+    token counts are listed.
+    """
     embedded = ops.embed_texts(
         wide_table(spark, sf_dir, "conversations"), "text", prefix=F.lit("search_document"), dim=32
     )
-    batches = ops.assemble_batches(embedded, "conv_id", "turn", ["tokens", "embedding"])
-    totals = F.transform(
-        "embedding",
-        lambda v, i: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")) * (i + 1),
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    turns = embedded.select(
+        "conv_id",
+        F.struct("turn", "tokens").alias("item"),
+        (F.coalesce(total, F.lit(0.0)) * (1 + F.col("turn"))).alias("weighted"),
+    )
+    batches = turns.groupBy("conv_id").agg(
+        F.count("*").alias("items"),
+        F.sort_array(F.collect_list("item")).alias("listed"),
+        F.sum("weighted").alias("total"),
     )
+    tokens_listed = F.array_join(F.col("listed.tokens").cast("array<string>"), ", ", "NULL")
     return batches.select(
         "conv_id",
-        F.col("batch_size").alias("items"),
-        F.concat(F.lit("["), F.array_join(F.col("tokens").cast("array<string>"), ", "), F.lit("]")).alias("tokens"),
-        r6(F.aggregate(totals, F.lit(0.0), lambda s, x: s + x), 4).alias("weighted_total"),
+        "items",
+        F.concat(F.lit("["), tokens_listed, F.lit("]")).alias("tokens"),
+        r6("total", 4).alias("weighted_total"),
     )
 
 

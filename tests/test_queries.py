@@ -40,6 +40,19 @@ def test_query(spark, duck, sf_dir, name):
     assert rows_of(names, [row.asDict() for row in found]) == rows_of(names, expected)
 
 
+def test_batch_embed_of_long_conversations(spark, tmp_path):
+    rows = [(c, t, f"turn {t} of conversation {c}, " + "more words " * (t % 5)) for c, n in ((1, 40), (2, 17), (3, 16), (4, 1)) for t in range(n)]
+    rows.append((5, 0, None))
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = catalog.QUERIES["t10_batch_embed"](spark, str(tmp_path)).collect()
+    cursor = duckdb.connect().execute(f"create view conversations as from '{tmp_path}/conversations.parquet/*.parquet'")
+    cursor = cursor.execute(catalog.ORACLES["t10_batch_embed"])
+    names = [column[0] for column in cursor.description]
+    expected = [dict(zip(names, row)) for row in cursor.fetchall()]
+    assert rows_of(names, [row.asDict() for row in found]) == rows_of(names, expected)
+    assert {r["conv_id"]: r["items"] for r in found} == {1: 40, 2: 17, 3: 16, 4: 1, 5: 1}
+
+
 def test_names_and_oracles():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     assert not [name for name in catalog.QUERIES if re.match(r"op\d|.*pipeline", name)]

@@ -1,7 +1,7 @@
 """Cleans and packs ``documents`` in stages; each stage is written and read again by the next.
 
-Null texts fail the quality rules, so later stages never see them. Rows with a null key pass like others;
-they are dropped as near-duplicates never, as no key names them. Empty tables pass through. Extra columns stay
+Null texts fail the quality rules, so later stages never see them. Rows with a null or repeated key pass like
+others: near-duplicates are told apart by row, and null keys come last in their order. Empty tables pass through. Extra columns stay
 until packing, whose result has columns of its own.
 """
 

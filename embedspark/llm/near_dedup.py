@@ -19,9 +19,11 @@ Texts with equal words are one text from the start. Large buckets are cut into b
 every pair of blocks is a cell, so no task gets more than two blocks.
 
 Null and wordless texts are in a class of their own each (their key). Texts of fewer than five words have one
-shingle, all their words. The class id is the smallest key of the class. Rows with a null key belong
-to the class of their words if another row has them; otherwise their class is null. Rows with one key
-are one document. An empty table gives no rows. Further columns are ignored.
+shingle, all their words. Rows are told apart by a written row number, texts by the digest of their
+words; keys only name them and may be null or repeated. The first row of a class is the one with the
+smallest (key, text hash, row number), null keys last. The class id is that row's key, null if no row
+of the class has a key; where one key has several texts, ``class_hash`` (the first row's text hash)
+tells their classes apart. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from embedspark.llm.common import discard, frugal, mix64, near_rows, per_worker, recording, text_slices, unit, whole_groups, written
 from embedspark.llm.components import components
@@ -108,24 +110,24 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sign():
-    names, kinds = ["key", "digest", "bands", "registers"], [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+    names, kinds = ["row", "digest", "bands", "registers"], [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = mix64(np.arange(1, BANDS + 1, dtype="u8"))
         for batch in batches:
             for part in text_slices(batch, "text"):
                 rows = []
-                for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist()):
+                for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist()):
                     words = (text or "").split()
                     if not words:
-                        rows.append((key, None, None, None))
+                        rows.append((row, None, None, None))
                         continue
                     digest = hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()
                     own = signature(*shingles(words))
                     bands = number.copy()
                     for k in range(ROWS):
                         bands = mix64(bands * _STEP + own.reshape(BANDS, ROWS)[:, k])
-                    rows.append((key, digest, bands.view("i8"), own.astype("<u4").tobytes()))
+                    rows.append((row, digest, bands.view("i8"), own.astype("<u4").tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -211,29 +213,38 @@ def _verify():
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that are similar enough, compared by their texts."""
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    near, _ = near_rows(texts, ends, "key")
-    wanted = written(near.join(ends, "key", "left_semi"))
-    both = pairs.join(wanted.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(
-        wanted.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b"
+    ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    near, _ = near_rows(texts, ends, "row")
+    wanted = written(near.join(ends, "row", "left_semi"))
+    both = pairs.join(wanted.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(
+        wanted.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b"
     )
     return written(both.mapInArrow(_verify(), "a bigint, b bigint"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id."""
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    signed = written(rows.mapInArrow(_sign(), "key bigint, digest binary, bands array<bigint>, registers binary"))
-    wordless = signed.where("digest is null").select(F.col("key").alias("doc_id"), F.col("key").alias("class_id"))
-    signed = signed.where("digest is not null")
-    firsts = written(signed.groupBy("digest").agg(F.min("key").alias("node")))
-    nodes = signed.join(firsts, "digest").where("key = node")
-
-    met = nodes.select("node", F.posexplode("bands").alias("number", "band")).distinct()
+def _place() -> Column:
+    """The order of the rows of a class."""
+    return F.struct(F.col("key").isNull().alias("late"), "key", "hash", "row")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number that stays, because it is written."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), codec="zstd")
+
+
+def _classes(numbered: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per numbered row: row, key, first (place of the first row of its class)."""
+    rows = numbered.select(F.col("_row").alias("row"), F.col(text).alias("text"))
+    signed = written(rows.mapInArrow(_sign(), "row bigint, digest binary, bands array<bigint>, registers binary"))
+    digests = signed.where("digest is not null").select("row", "digest")
+    # A node is a text: it is named by the smallest row number that has it.
+    firsts = written(digests.groupBy("digest").agg(F.min("row").alias("node")))
+    nodes = signed.join(firsts.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+
+    met = nodes.select("node", F.posexplode("bands").alias("number", "band"))
     sizes = met.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     members = written(met.join(sizes, "band"))
-    registers = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "registers")
-    registers = written(registers.dropDuplicates(["node"]))
+    registers = written(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "registers"))
     # A bucket of more than one block becomes a triangle of cells.
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     side = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -259,16 +270,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    classes = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
-    wordy = signed.select("key", "digest").join(classes, "digest").select(F.col("key").alias("doc_id"), "class_id")
-    return wordy.unionByName(wordless)
+    names = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
+    places = numbered.select(F.col("_row").alias("row"), F.col(key).cast("bigint").alias("key"), F.xxhash64(text).alias("hash"))
+    wordy = written(digests.join(names, "digest").select("row", "label").join(places, "row"))
+    first = wordy.groupBy("label").agg(F.min(_place()).alias("first"))
+    wordless = places.join(signed.where("digest is null").select("row"), "row", "left_semi")
+    return (
+        wordy.join(first, "label")
+        .select("row", "key", "first")
+        .unionByName(wordless.select("row", "key", _place().alias("first")))
+    )
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id, class_hash."""
+    classes = _classes(_numbered(docs.select(key, text)), key, text)
+    return classes.select(
+        F.col("key").alias("doc_id"), F.col("first.key").alias("class_id"), F.col("first.hash").alias("class_hash")
+    )
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, with its own columns."""
+    """The first row of each class, with its own columns."""
     with recording() as folders:
-        classes = near_duplicates(docs, key, text)
-        gone = written(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct())
-    discard(docs.sparkSession, folders, keep=(gone,))
-    near, far = near_rows(docs, gone, key)
-    return near.join(gone, key, "left_anti").unionByName(far)
+        numbered = _numbered(docs)
+        classes = _classes(numbered, key, text)
+        gone = written(classes.where("row <> first.row").select(F.col("row").alias("_row")))
+    discard(docs.sparkSession, folders, keep=(numbered, gone))
+    near, far = near_rows(numbered, gone, "_row")
+    return near.join(gone, "_row", "left_anti").unionByName(far).select(*docs.columns)

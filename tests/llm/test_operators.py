@@ -379,6 +379,31 @@ def test_near_duplicates(docs, texts, odd, empty):
     assert near_dedup.keep_first(odd).columns == odd.columns
 
 
+def test_near_duplicates_by_row(spark):
+    random = np.random.default_rng(8)
+    a, b, c, d, e, f = (" ".join(f"w{w}" for w in random.integers(0, 10**6, 120)) for _ in range(6))
+    near = lambda t, word: " ".join([*t.split()[:-1], word])
+    rows = [
+        (1, a, "x"), (2, near(a, "y"), "x"), (2, b, "unique text under the key of a near copy"),
+        (3, c, "x"), (3, c, "the same row again"), (3, c, "and again"),
+        (None, d, "x"), (None, d, "a copy without a key"), (None, near(d, "z"), "a near copy without a key"),
+        (None, near(c, "q"), "x"), (9, e, "x"), (9, f, "x"), (10, near(e, "r"), "x"), (10, near(f, "s"), "x"),
+        (11, None, "x"), (12, " ", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string").repartition(3)
+    groups = [{a, rows[1][1]}, {b}, {c, rows[9][1]}, {d, rows[8][1]}, {e, rows[12][1]}, {f, rows[13][1]}, {None}, {" "}]
+    kept = near_dedup.keep_first(docs).collect()
+    assert sorted(min(i for i, g in enumerate(groups) if r["text"] in g) for r in kept) == list(range(8))
+    assert Counter(r["doc_id"] for r in kept) == Counter([1, 2, 3, None, 9, 9, 11, 12])
+    assert {r["text"] for r in kept if r["doc_id"]} == {a, b, c, e, f, None, " "}
+    classes = near_dedup.near_duplicates(docs).collect()
+    assert len(classes) == len(rows)
+    assert Counter((r["doc_id"], r["class_id"]) for r in classes) == Counter(
+        [(1, 1), (2, 1), (2, 2), *[(3, 3)] * 3, *[(None, None)] * 3, (None, 3), (9, 9), (9, 9), (10, 9), (10, 9), (11, 11), (12, 12)]
+    )
+    assert len({(r["class_id"], r["class_hash"]) for r in classes}) == 8
+
+
 def test_signature_estimates_probability_jaccard():
     random = np.random.default_rng(6)
     a = np.unique(random.integers(0, 2**62, 300).astype("u8"))

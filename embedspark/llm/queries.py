@@ -62,8 +62,9 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard of every document; shards hold 16 MiB of text at most."""
-    found = sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    """The shard of every document; shards hold 16 MiB of all columns at most."""
+    docs = table(spark, sf_dir, "documents")
+    found = sharding.assign_shards(docs, SHARD_BYTES, weight=sharding.row_bytes(docs))
     return found.select("doc_id", "shard", "depth", "shard_bytes", "shard_rows")
 
 

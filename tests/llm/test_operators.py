@@ -219,6 +219,32 @@ def test_shards_of_odd_rows(odd, empty):
     assert sharding.assign_shards(empty, 30).count() == 0
 
 
+def test_written_shards(spark, odd, empty, tmp_path):
+    rows = [(None, f"no key {i}", "x" * 50, [i]) for i in range(60)] + [(7, "hot " * 5, "y" * 40, None)] * 90
+    rows += [(i, None, "z" * (i % 70), [1, 2]) for i in range(80)] + [(8, "", "", None)] * 200 + [(9, "t", "w" * 3000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string, numbers array<long>").repartition(5)
+    sharding.write_shards(docs, f"{tmp_path}/s", 1000)
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert Counter(map(str, back.drop("shard").collect())) == Counter(map(str, docs.collect()))
+    sizes = defaultdict(list)
+    for r in back.collect():
+        plain = len((r["text"] or "") + (r["extra"] or "")) + 8  # the key, and at least these bytes
+        sizes[r["shard"]].append(plain)
+    assert all(sum(s) <= 1000 or len(s) == 1 for s in sizes.values()) and max(map(len, sizes.values())) <= 100
+    assert len({r["shard"] for r in back.where("doc_id = 7").collect()}) > 4
+    sharding.write_shards(odd, f"{tmp_path}/o", 30)
+    assert spark.read.parquet(f"{tmp_path}/o").count() == len(ODD)
+    sharding.write_shards(empty, f"{tmp_path}/e", 30)
+
+
+def test_sharding_query_counts_all_columns(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CAST(NULL AS string) AS text", "repeat('x', 10000) AS extra")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.QUERIES["op3_sharding"](spark, str(tmp_path)).collect()
+    assert len(rows) == 3000 and len({r["shard"] for r in rows}) > 1
+    assert all(r["shard_rows"] * 10000 <= r["shard_bytes"] <= queries.SHARD_BYTES for r in rows)
+
+
 def test_piece_sampling(odd, empty):
     rows = piece_sampling.sample_pieces(odd, PIECES).collect()
     assert sorted(map(str, (r["decoded"] for r in rows))) == sorted(str(t) for _, t, *_ in ODD)

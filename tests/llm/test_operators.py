@@ -266,7 +266,7 @@ def test_sampled_shares_match_the_weights():
 
     for word in ("there", "ander"):
         all_ways = list(ways(" " + word))
-        shares = np.array([math.prod(vocabulary.weights[i] for i in w) for w in all_ways])
+        shares = np.array([math.prod(vocabulary.weight[i] for i in w) for w in all_ways])
         shares /= shares.sum()
         seeds = np.random.default_rng(4).integers(0, 2**62, 20_000)
         drawn = Counter(tuple(ids.tolist()) for ids in piece_sampling.sample([word] * len(seeds), seeds, vocabulary))

@@ -15,7 +15,7 @@ like any other. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import struct
+import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -25,46 +25,70 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from embedspark.llm.common import frugal, text_slices, written
-from embedspark.llm.tokens import encoder
+from embedspark.llm.tokens import SLICE_BYTES, encoder
 
 
-def _cut(path: str, end_id: int, capacity: int):
-    names = ["doc_id", "piece", "start", "length", "ids", "task", "nth"]
+def _within(lengths: np.ndarray) -> np.ndarray:
+    """How many earlier entries have the same value."""
+    order = np.argsort(lengths, kind="stable")
+    first = np.searchsorted(lengths[order], lengths[order], side="left")
+    place = np.empty(len(lengths), "i8")
+    place[order] = np.arange(len(lengths)) - first
+    return place
 
+
+def _cut(path: str, end_id: int, capacity: int, digests: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, end, words = TaskContext.get().partitionId(), struct.pack("<I", end_id), encoder(path)
+        task, words = TaskContext.get().partitionId(), encoder(path)
         seen = np.zeros(capacity + 1, "i8")
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                rows = []
-                for key, ids in zip(part.column("key").to_pylist(), words.encode(part.column("text").to_pylist())):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        length = len(own) // 4
-                        rows.append((key, piece, at // 4, length, own, task, int(seen[length])))
-                        seen[length] += 1
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            for part in text_slices(batch, "text", SLICE_BYTES):
+                ids, bounds = words.encode_array(part.column("text"), end_id)
+                sizes = np.diff(bounds)
+                pieces = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(capacity, sizes[row] - capacity * piece)
+                ends = 4 * np.cumsum(length)
+                data = pa.py_buffer(ids)
+                if digests:
+                    view = memoryview(ids).cast("B")
+                    own = pa.array([zlib.crc32(view[a:b]) for a, b in zip((ends - 4 * length).tolist(), ends.tolist())], pa.int64())
+                else:
+                    offsets = pa.py_buffer(np.concatenate([[0], ends]).astype("i4"))
+                    own = pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, data])
+                nth = seen[length] + _within(length)
+                seen += np.bincount(length, minlength=capacity + 1)
+                columns = [
+                    part.column("key").take(pa.array(row)),
+                    pa.array(piece.astype("i4")),
+                    pa.array(capacity * piece),
+                    pa.array(length),
+                    own,
+                    pa.array(np.full(len(row), task, "i8")),
+                    pa.array(nth),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "own", "task", "nth"])
 
     return frugal(cut)
 
 
 def cut_documents(
-    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str = "doc_id", text: str = "text", digests: bool = False
 ) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids, task, nth.
 
     ``nth`` numbers the pieces of one length inside a task. The table is written to the shared folder,
-    so that these numbers hold from then on.
+    so that these numbers hold from then on. With ``digests`` a piece carries the CRC of its ids,
+    ``ids_crc32``, in their stead.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    own = ("ids_crc32", "bigint") if digests else ("ids", "binary")
     pieces = rows.mapInArrow(
-        _cut(tokenizer, end_id, capacity),
-        "doc_id bigint, piece int, start bigint, length bigint, ids binary, task bigint, nth bigint",
+        _cut(tokenizer, end_id, capacity, digests),
+        f"doc_id bigint, piece int, start bigint, length bigint, own {own[1]}, task bigint, nth bigint",
     )
-    return written(pieces, codec="zstd")
+    return written(pieces.withColumnRenamed("own", own[0]), codec="zstd")
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:

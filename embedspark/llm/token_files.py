@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embedspark.llm.common import frugal, long_list, text_slices
-from embedspark.llm.tokens import encoder
+from embedspark.llm.tokens import SLICE_BYTES, encoder
 
 _SCHEMA = (
     "part int, seq int, start bigint, n_tokens bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary"
@@ -114,18 +114,18 @@ class PackedIds:
 
 def _segments(path: str, end_id: int, segment_tokens: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, end, words = TaskContext.get().partitionId(), struct.pack("<I", end_id), encoder(path)
+        part, words = TaskContext.get().partitionId(), encoder(path)
         seq, before, held, keys, rows = 0, 0, 0, [], []
 
         def segment():
-            ids = np.frombuffer(b"".join(rows), "<u4")
+            ids = np.concatenate(rows)
             columns = [
                 pa.array([part], pa.int32()),
                 pa.array([seq], pa.int32()),
                 pa.array([before], pa.int64()),
                 pa.array([len(ids)], pa.int64()),
                 pa.array([keys], pa.list_(pa.int64())),
-                long_list([np.array([len(r) // 4 for r in rows])]),
+                long_list([np.array([len(r) for r in rows])]),
                 pa.array([pack_ids(ids)], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(
@@ -133,11 +133,13 @@ def _segments(path: str, end_id: int, segment_tokens: int):
             )
 
         for batch in batches:
-            for piece in text_slices(batch, "text"):
-                for key, ids in zip(piece.column("key").to_pylist(), words.encode(piece.column("text").to_pylist())):
-                    rows.append(ids + end)
+            for piece in text_slices(batch, "text", SLICE_BYTES):
+                flat, bounds = words.encode_array(piece.column("text"), end_id)
+                bounds = bounds.tolist()
+                for key, first, last in zip(piece.column("key").to_pylist(), bounds[:-1], bounds[1:]):
+                    rows.append(flat[first:last])
                     keys.append(key)
-                    held += len(ids) // 4 + 1
+                    held += last - first
                     if held >= segment_tokens:
                         yield segment()
                         seq, before, held, keys, rows = seq + 1, before + held, 0, [], []

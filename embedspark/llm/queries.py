@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embedspark.llm import classifier, line_dedup, near_dedup, nearest, packing, piece_sampling, quality_rules, sharding, suffix_dedup, token_files
+from embedspark.llm import bin_slack, classifier, line_dedup, near_dedup, nearest, packing, piece_sampling, quality_rules, sharding, suffix_dedup, token_files
 from embedspark.llm.common import table
 from embedspark.session import shared_folder
 
@@ -39,9 +39,9 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences by best-two-fit."""
     docs = table(spark, sf_dir, "documents")
-    pieces = packing.cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, SEQUENCE_TOKENS)
-    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(digests, SEQUENCE_TOKENS).select(
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.cut_documents(docs, path, END_ID, SEQUENCE_TOKENS, digests=True)
+    return packing.pack(pieces, SEQUENCE_TOKENS).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 
@@ -110,3 +110,11 @@ def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32("ids").alias("ids_crc32"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op11_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences by minimum bin slack."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packed = bin_slack.pack_documents(table(spark, sf_dir, "documents"), path, 2, SEQUENCE_TOKENS, keep_ids=False)
+    return packed.drop("ids")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embedspark.llm import bin_slack, classifier, line_dedup, near_dedup, nearest, packing, piece_sampling, quality_rules, sharding, suffix_dedup, token_files
+from embedspark.llm import bin_slack, classifier, line_dedup, merkle, merkle_sql, near_dedup, nearest, packing, piece_sampling, quality_rules, sharding, suffix_dedup, token_files
 from embedspark.llm.common import table
 from embedspark.session import shared_folder
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 SEQUENCE_TOKENS = 4096
@@ -118,3 +119,23 @@ def op11_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     packed = bin_slack.pack_documents(table(spark, sf_dir, "documents"), path, 2, SEQUENCE_TOKENS, keep_ids=False)
     return packed.drop("ids")
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and proofs of all documents; a third of them is checked with its text lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    columns = [F.col(name) for name in ("doc_id", "source", "lang", "n_chars", "text")]
+    lowered = [*columns[:-1], F.translate("text", UPPER, LOWER)]
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = merkle.manifest(
+        docs,
+        tree=F.col("lang"),
+        key=F.col("doc_id"),
+        leaf=merkle.digest_of(columns),
+        claimed=F.when(changed, merkle.digest_of(lowered)),
+    )
+    return found.withColumnRenamed("key", "doc_id")
+
+
+ORACLES["op12_merkle_manifest"] = merkle_sql.manifest_sql(levels=8, head_levels=4)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from embedspark.llm import bin_slack, classifier, line_dedup, merkle, merkle_sql, near_dedup, nearest, packing, piece_sampling, quality_rules, sharding, suffix_dedup, token_files
+from embedspark.llm import bin_slack, classifier, line_dedup, merkle, merkle_sql, near_dedup, nearest, packing, periodic_runs, piece_sampling, quality_rules, sharding, suffix_dedup, token_files
 from embedspark.llm.common import table
 from embedspark.session import shared_folder
 
@@ -139,3 +139,42 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_merkle_manifest"] = merkle_sql.manifest_sql(levels=8, head_levels=4)
+
+
+def _with_planted_period(text: Column, number: Column) -> Column:
+    """The text, or for every tenth number its words with a stretch that repeats one period up to the end."""
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    rest = F.floor(number / 10)
+
+    def planted(own: Column) -> Column:
+        n = F.size(own)
+        first = (rest % n).cast("int")
+        period = (F.lit(1) + F.floor((n - first) / (F.lit(3) + rest % 8))).cast("int")
+        times = F.ceil((n - first) / period).cast("int")
+        repeated = F.flatten(F.array_repeat(F.slice(own, first + 1, period), times))
+        return F.concat_ws(" ", F.concat(F.slice(own, F.lit(1), first), F.slice(repeated, F.lit(1), n - first)))
+
+    # The array of one binds the words, so that the text is split once.
+    changed = F.transform(F.array(words), lambda own: F.when(F.size(own) > 0, planted(own)).otherwise(text))[0]
+    return F.when(number % 10 == 0, changed).otherwise(text)
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents and digests of the collapsed texts; every tenth document gets a planted period."""
+    docs = table(spark, sf_dir, "documents")
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", _with_planted_period(F.col("text"), number).alias("text"))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"])))
+    found = periodic_runs.collapse_runs(docs, ["doc_id"]).withColumn("longest", longest)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        (-F.col("longest.col1")).alias("length"),
+        F.col("longest.period").alias("period"),
+        F.expr("(-1000 * longest.col1) div longest.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda line: F.concat(line, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -182,7 +182,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return request_columns(table(spark, sf_dir, "events"))
 
 
-def request_columns(events: DataFrame) -> DataFrame:
+def request_columns(events: DataFrame, *more: str) -> DataFrame:
     user = F.col("user_id") % 3
     return events.select(
         F.col("event_id").alias("request_id"),
@@ -193,6 +193,7 @@ def request_columns(events: DataFrame) -> DataFrame:
         F.expr("shiftleft(1L, cast(event_id % 8 as int))").alias("batch_size"),
         (3 + F.col("event_id") % 50).alias("tokens"),
         F.when(user == 0, F.lit("fp32")).when(user == 1, F.lit("fp16")).otherwise(F.lit("int8")).alias("variant"),
+        *more,
     )
 
 

@@ -111,3 +111,20 @@ def latest_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
         .trigger(availableNow=True)
         .start()
     )
+
+
+def run_slices(slices: list[DataFrame], folder: str, build, start) -> DataFrame:
+    """Feeds tables to a stream one after the other, a micro-batch each, and returns what it wrote.
+
+    ``build`` makes the stream's result from its source, ``start(result, path, checkpoint)`` starts it. Each
+    slice is a run of its own that goes on from the checkpoint, as a daily job would.
+    """
+    spark = slices[0].sparkSession
+    for rows in slices:
+        rows.write.mode("append").parquet(f"{folder}/in")
+        source = parquet_stream(spark, f"{folder}/in", rows.schema)
+        run = start(build(source), f"{folder}/out", f"{folder}/checkpoint")
+        run.awaitTermination()
+        if run.exception():
+            raise run.exception()
+    return spark.read.parquet(f"{folder}/out")

@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import functions as F
 
 from embedspark.functions import vectors
-from embedspark.operators import search, variants as ops
+from embedspark.operators import pivot_search, search, variants as ops
 from embedspark.operators.text import embed_texts
 from embedspark.operators.encoders import HashingTextEncoder
 from embedspark.plans.fixtures import VARIANTS_SQL, hashed_sql, table, variants, wide_table
@@ -476,6 +476,32 @@ def rank_agreement(spark, sf_dir):
     return search.overlap_at_k(full, short, 10).select("query_id", r6("overlap").alias("overlap"))
 
 
+NEAREST_SQL = """pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id,
+    round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) + 0.0 AS score FROM embeddings q, embeddings c)"""
+
+
+def pruned_neighbors(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return pivot_search.pruned_top_k(rows, rows, 5, "vec_id", "vec_id", cell_rows=64)
+
+
+@query(
+    "v20_pruned_topk",
+    f"""WITH {NEAREST_SQL}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM pairs)
+SELECT query_id, rank::INT AS rank, item_id, score FROM ranked WHERE rank <= 5""",
+)
+def pruned_topk(spark, sf_dir):
+    """The five vectors nearest to each vector, visiting only cells that can hold one of them."""
+    return pruned_neighbors(spark, sf_dir)[0]
+
+
+@query("v20_pruned_visits")
+def pruned_visits(spark, sf_dir):
+    """How many of the cells that search visited for each vector."""
+    return pruned_neighbors(spark, sf_dir)[1]
+
+
 @query(
     "v19_cross_modal_pairs",
     f"""WITH {hashed_sql("documents", "doc_id", "text", 64, 64, "docs", "search_query")}

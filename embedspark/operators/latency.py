@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from embedspark.operators.ranks import null_safe_join, rank_values
+from embedspark.operators.ranks import null_safe_join, summary_with_ranks
 from embedspark.session import written
 
 # The reported quantiles.
@@ -16,17 +16,13 @@ def micros(moment: Column) -> Column:
     return F.unix_micros(moment.cast("timestamp"))
 
 
-def endpoint_counts(log: DataFrame, *groups: str) -> DataFrame:
-    """Totals, success rate, request rate over the wall time and mean latency of every group.
-
-    Wall time on a log is from the first start to the last end.
-    """
+def _endpoint_aggregates() -> list[Column]:
     started = micros(F.col("started_at"))
     ended = started + F.col("latency_ms") * 1000.0
     wall = (F.max(ended) - F.min(started)) / 1e6
     total = F.count("*")
     good = F.sum(F.col("success").cast("bigint"))
-    return log.groupBy(*groups).agg(
+    return [
         total.alias("total"),
         good.alias("successful"),
         (total - good).alias("failed"),
@@ -34,13 +30,20 @@ def endpoint_counts(log: DataFrame, *groups: str) -> DataFrame:
         wall.alias("wall_seconds"),
         (total / wall).alias("rps"),
         F.avg("latency_ms").alias("mean_ms"),
-    )
+    ]
+
+
+def endpoint_counts(log: DataFrame, *groups: str) -> DataFrame:
+    """Totals, success rate, request rate over the wall time and mean latency of every group.
+
+    Wall time on a log is from the first start to the last end.
+    """
+    return log.groupBy(*groups).agg(*_endpoint_aggregates())
 
 
 def endpoint_summary(log: DataFrame, *groups: str) -> DataFrame:
     """``endpoint_counts`` with exact percentiles over all requests; NULL where a group has no latency."""
-    ranks = rank_values(log, list(groups), "latency_ms", QUANTILES)
-    return null_safe_join(endpoint_counts(log, *groups), ranks, list(groups), "left")
+    return summary_with_ranks(log, list(groups), "latency_ms", QUANTILES, _endpoint_aggregates())
 
 
 def approximate_summary(log: DataFrame, *groups: str, accuracy: int = 10000) -> DataFrame:
@@ -56,7 +59,7 @@ def batch_size_summary(log: DataFrame, *groups: str) -> DataFrame:
     keys = [*groups, "batch_size"]
     good = log.where("success")
     mean = F.avg("latency_ms")
-    moments = good.groupBy(*keys).agg(
+    moments = [
         F.count("*").alias("successful"),
         mean.alias("latency_mean"),
         F.coalesce(F.stddev_samp("latency_ms"), F.lit(0.0)).alias("latency_std"),
@@ -67,8 +70,8 @@ def batch_size_summary(log: DataFrame, *groups: str) -> DataFrame:
         (F.col("batch_size") * 1000.0 / mean).alias("items_per_second"),
         F.avg("tokens").alias("mean_tokens"),
         F.when(mean > 0, F.avg("tokens") * 1000.0 / mean).otherwise(F.lit(0.0)).alias("tokens_per_second"),
-    )
-    return null_safe_join(moments, rank_values(good, keys, "latency_ms", QUANTILES), keys, "left")
+    ]
+    return summary_with_ranks(good, keys, "latency_ms", QUANTILES, moments)
 
 
 def batch_means(log: DataFrame, *groups: str) -> DataFrame:

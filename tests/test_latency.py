@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from embedspark.operators import latency as ops
+from embedspark.operators import ranks
 from embedspark.operators.ranks import rank_values
 
 SHARES = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -98,3 +99,44 @@ def test_null_keys_and_groups_without_values_keep_their_rows(spark):
     assert sized == {None: 5.0, "b": None}
     means = spark.createDataFrame([(None, 1, 4.0), (None, 2, 4.0)], "g string, batch_size int, latency_mean double")
     assert sorted(r["speedup"] for r in ops.speedup_vs_single(means, "g").collect()) == [1.0, 2.0]
+
+
+def plain_ranks(rows):
+    groups = {}
+    for key, value in rows:
+        groups.setdefault(key, []).append(value)
+    expected = {}
+    for key, own in groups.items():
+        values = sorted(v for v in own if v is not None)
+        ranks = tuple(values[int(len(values) * q)] if values else None for q in SHARES.values())
+        expected[key] = (len(own), *ranks)
+    return expected
+
+
+def skewed_rows():
+    rng = random.Random(5)
+    rows = [("hot", round(rng.lognormvariate(3, 1), 2)) for _ in range(20_000)]
+    rows += [("same", 7.5)] * 3000 + [(None, float(i % 50)) for i in range(500)] + [("none", None)] * 3
+    rows += [("one", 4.0), ("edge", -1.0), ("edge", 0.0), ("edge", None), ("far", 1e300), ("far", -1e300)]
+    return rows + [(f"g{i % 40}", rng.choice([None, rng.random(), 0.5])) for i in range(2000)]
+
+
+@pytest.mark.parametrize("margin", [0.0027, 0.0, 0.6])
+def test_summary_with_ranks_is_exact(spark, margin):
+    rows = skewed_rows()
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    found = ranks.summary_with_ranks(df, ["g"], "v", SHARES, [F.count("*").alias("total")], margin=margin).collect()
+    assert {r["g"]: tuple(r)[1:] for r in found} == plain_ranks(rows)
+
+
+def test_summary_of_more_groups_than_the_driver_takes(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "MAX_GROUPS", 10)
+    rows = skewed_rows()
+    df = spark.createDataFrame(rows, "g string, v double")
+    found = ranks.summary_with_ranks(df, ["g"], "v", SHARES, [F.count("*").alias("total")]).collect()
+    assert {r["g"]: tuple(r)[1:] for r in found} == plain_ranks(rows)
+
+
+def test_summary_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "g string, v double")
+    assert ranks.summary_with_ranks(df, ["g"], "v", SHARES, [F.count("*").alias("total")]).count() == 0

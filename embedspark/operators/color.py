@@ -9,6 +9,7 @@ aggregation with map-side combining.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -328,25 +329,35 @@ def key_ranks(histogram: DataFrame, colors: DataFrame, image: str = "image_id")
     return colors.join(ranked, [image, "key"], "left").withColumn("exists", F.col("cnt").isNotNull())
 
 
+_PLACE, _COLOR = 10**20, 10**8  # decimal places of a packed pixel: distance, position (12 digits), colour (8 digits)
+
+
 def nearest_pixels(pixels: DataFrame, colors: DataFrame, image: str = "image_id") -> DataFrame:
     """Valid pixel closest to a given colour (target_r, target_g, target_b on 0..1) per image.
 
-    Distances repeat for equal colours, so pixels first shrink to one row per colour. They are
-    compared at 12 digits: colours equally far away tie, and the first pixel wins.
+    Distances are compared at 12 digits: colours equally far away tie, and the first pixel wins. Distance, position
+    and colour of a pixel are packed into one number, whose minimum is combined in the task: a row per image and task is
+    all that moves, however many colours a picture has.
     """
-    unique = valid_pixels(pixels).groupBy(image, *CHANNELS).agg(F.min("idx").alias("idx"))
-    squared = sum(
-        (
-            (fn.unit_channel(F.col(c), "double") - F.col(f"target_{c}"))
-            * (fn.unit_channel(F.col(c), "double") - F.col(f"target_{c}"))
-            for c in CHANNELS
-        ),
-        F.lit(0.0),
-    )
-    scored = with_cluster_key(unique.join(colors, image)).withColumn("distance", F.sqrt(squared))
-    order = F.struct(F.round("distance", 12), "idx")
-    return scored.groupBy(image).agg(
-        F.min("distance").alias("distance"),
-        F.min_by("idx", order).alias("idx"),
-        F.min_by("key", order).alias("key"),
+    targets = [f"target_{c}" for c in CHANNELS]
+
+    def distance() -> Column:
+        gaps = [fn.unit_channel(F.col(c), "double") - F.col(f"target_{c}") for c in CHANNELS]
+        return F.sqrt(sum((gap * gap for gap in gaps), F.lit(0.0)))
+
+    steps = F.round(F.round(distance(), 12) * 1e12).cast("decimal(13,0)")
+    color = (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("decimal(8,0)")
+    packed = steps * F.lit(Decimal(_PLACE)) + F.col("idx").cast("decimal(12,0)") * F.lit(Decimal(_COLOR)) + color
+    near = valid_pixels(pixels).join(colors, image)
+    best = near.groupBy(image).agg(F.min(packed).alias("_packed"), *[F.min(t).alias(t) for t in targets])
+    rest = best.withColumn("_rest", F.col("_packed") % F.lit(Decimal(_PLACE)))
+    rgb = (F.col("_rest") % F.lit(Decimal(_COLOR))).cast("bigint")
+    found = rest.select(
+        image,
+        F.expr(f"_rest div {_COLOR}BD").alias("idx"),
+        *targets,
+        F.shiftright(rgb, 16).alias("r"),
+        (F.shiftright(rgb, 8) % 256).alias("g"),
+        (rgb % 256).alias("b"),
     )
+    return with_cluster_key(found.withColumn("distance", distance())).select(image, "distance", "idx", "key")

@@ -145,6 +145,30 @@ def orderings(items: DataFrame, group: str, pos: str, *values: str) -> DataFrame
     return wide.select(group, F.explode(F.array(*rows)).alias("o")).select(group, "o.*")
 
 
+def quantized(vector: Column, step: Column) -> Column:
+    """The vector at whole multiples of a step; unchanged where the step is not positive."""
+    rounded = F.transform(vector, lambda x: F.floor(x / step + 0.5).cast("double") * step)
+    return F.when(step > 0, rounded).otherwise(vector)
+
+
+def in_batches(vectors: DataFrame, members: DataFrame, key: str, *batch: str, levels: float = 127.0) -> DataFrame:
+    """Members of batches with their vector alone (``single``) and as the batch quantizes it (``batched``).
+
+    ``vectors``: the key and ``vector``; ``members``: one row per place of a batch, named by the ``batch`` columns, with
+    the key of the item there. An item may stand in many batches, or in one several times. The step alone comes from the
+    item's own peak, in a batch from the largest peak of the batch: one combined aggregate over numbers.
+    """
+    peaked = vectors.select(key, "vector", F.array_max(F.transform("vector", lambda x: F.abs(x))).alias("_peak"))
+    rows = members.join(peaked, key)
+    steps = members.join(peaked.select(key, "_peak"), key).groupBy(*batch).agg((F.max("_peak") / levels).alias("_step"))
+    return rows.join(steps, list(batch)).select(
+        *members.columns,
+        "vector",
+        quantized(F.col("vector"), F.col("_peak") / levels).alias("single"),
+        quantized(F.col("vector"), F.col("_step")).alias("batched"),
+    )
+
+
 def cause_verdict(quantized: Column, full: Column) -> Column:
     """Whether quantization explains a difference between single and batched vectors."""
     return (

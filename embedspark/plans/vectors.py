@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from embedspark.functions import vectors
 from embedspark.operators import pivot_search, search, variants as ops
@@ -153,23 +153,28 @@ def diff_distribution(spark, sf_dir):
     )
 
 
-# Latencies of the variants come from the request log: one event per vector and variant.
+# Latencies of the variants come from the whole request log: each event belongs to a vector, round and round.
 LATENCY_SQL = """latency AS (
-  SELECT event_id AS vec_id, value AS base_latency, value * (1 + event_id % 3) / 2 AS variant_latency
-  FROM events WHERE event_id IN (SELECT vec_id FROM embeddings))"""
+  SELECT event_id % (SELECT max(vec_id) + 1 FROM embeddings) AS vec_id, avg(value) AS base_latency,
+    avg(value * (1 + event_id % 3) / 2) AS variant_latency FROM events GROUP BY 1)"""
 
 
 def compared(spark, sf_dir, *names):
-    """Items with metrics and latencies of the named variants against the exact form."""
+    """Items with metrics and mean latencies of the named variants against the exact form."""
     rows = variants(spark, sf_dir)
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), "value")
-    timed = rows.join(events, "vec_id")
-    base = timed.select("vec_id", F.col("fp32").alias("vector"), F.col("value").alias("latency"))
+    events = table(spark, sf_dir, "events")
+    width = (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+    timed = events.groupBy((F.col("event_id") % width).alias("vec_id")).agg(
+        F.avg("value").alias("base_latency"),
+        F.avg(F.col("value") * (1 + F.col("event_id") % 3) / 2).alias("variant_latency"),
+    )
+    rows = rows.join(timed, "vec_id")
+    base = rows.select("vec_id", F.col("fp32").alias("vector"), F.col("base_latency").alias("latency"))
     forms = F.explode(
         F.array(*[F.struct(F.lit(n).alias("variant"), F.col(n).alias("vector")) for n in names])
     )
-    slower = (F.col("value") * (1 + F.col("vec_id") % 3) / 2).alias("latency")
-    others = timed.select("vec_id", slower, forms.alias("f")).select("vec_id", "latency", "f.*")
+    slower = F.col("variant_latency").alias("latency")
+    others = rows.select("vec_id", slower, forms.alias("f")).select("vec_id", "latency", "f.*")
     return ops.compare_variants(base, others, "vec_id", "vector", "latency", "variant")
 
 
@@ -191,15 +196,15 @@ FROM (SELECT vec_id, {metric_columns("fp32", variant, *FOUR)}, base_latency, var
   SELECT vec_id, {metric_columns("fp32", "int8", *FOUR)}, base_latency, variant_latency
   FROM variants JOIN latency USING (vec_id))
 SELECT vec_id, {", ".join(f"{s6(name)} AS {name}" for name in FOUR)},
-  {s6("base_latency", 4)} AS base_latency, {s6("variant_latency", 4)} AS variant_latency FROM m""",
+  {s6("base_latency", 7)} AS base_latency, {s6("variant_latency", 7)} AS variant_latency FROM m""",
 )
 def variant_compare(spark, sf_dir):
     rows = compared(spark, sf_dir, "int8")
     return rows.select(
         "vec_id",
         *[r6(name).alias(name) for name in FOUR],
-        r6("base_latency", 4).alias("base_latency"),
-        r6("variant_latency", 4).alias("variant_latency"),
+        r6("base_latency", 7).alias("base_latency"),
+        r6("variant_latency", 7).alias("variant_latency"),
     )
 
 
@@ -278,23 +283,49 @@ def verdict_tiers(spark, sf_dir):
     )
 
 
+# Vectors in batches that a relation of members names: an item alone, and with the step of its actual batch.
+EXACT_SQL = """exact AS (SELECT vec_id, label, embedding::DOUBLE[] AS v,
+    list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS peak FROM embeddings)"""
+
+
+def quantized_sql(vector: str, step: str) -> str:
+    return f"CASE WHEN {step} > 0 THEN list_transform({vector}, lambda x: floor(x / {step} + 0.5) * {step}) ELSE {vector} END"
+
+
+def in_batches_sql(members: str, *batch: str) -> str:
+    """``placed``: the rows of a table of members with ``v``, ``single`` and ``batched``."""
+    keys = ", ".join(batch)
+    return f"""steps AS (SELECT {keys}, max(peak) / 127.0::DOUBLE AS step FROM {members} JOIN exact USING (vec_id) GROUP BY {keys}),
+placed AS (SELECT m.*, e.v, {quantized_sql("e.v", "(e.peak / 127.0::DOUBLE)")} AS single, {quantized_sql("e.v", "s.step")} AS batched
+  FROM {members} m JOIN exact e USING (vec_id) JOIN steps s USING ({keys}))"""
+
+
+def exact_vectors(spark, sf_dir):
+    vector = F.transform("embedding", lambda x: x.cast("double")).alias("vector")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", vector)
+
+
+def batch_metrics(spark, sf_dir, members, *batch):
+    """Metrics between the vector alone and in its batch."""
+    rows = ops.in_batches(exact_vectors(spark, sf_dir).drop("label"), members, "vec_id", *batch)
+    return ops.with_pair_metrics(rows, "single", "batched")
+
+
 @query(
     "v13_batch_size_sensitivity",
-    f"""WITH {VARIANTS_SQL}, m AS (SELECT vec_id % 8 AS pos, {metric_columns("fp32", "int8_batched", "cosine", "max_abs_diff")} FROM variants)
-SELECT s.batch_size::INT AS batch_size, {s6("max(max_abs_diff)")} AS max_diff, {s6("avg(cosine)")} AS mean_cosine
-FROM m JOIN (SELECT unnest([1, 2, 4, 8]) AS batch_size) s ON m.pos < s.batch_size GROUP BY s.batch_size""",
+    f"""WITH {EXACT_SQL}, members AS (SELECT vec_id, vec_id // 8 AS grp, batch_size FROM exact
+  JOIN (SELECT unnest([1, 2, 4, 8]) AS batch_size) s ON vec_id % 8 < batch_size),
+{in_batches_sql("members", "grp", "batch_size")},
+m AS (SELECT batch_size, {metric_columns("single", "batched", "cosine", "max_abs_diff")} FROM placed)
+SELECT batch_size::INT AS batch_size, {s6("max(max_abs_diff)")} AS max_diff, {s6("avg(cosine)")} AS mean_cosine,
+  count(*) AS members FROM m GROUP BY batch_size""",
 )
 def batch_size_sensitivity(spark, sf_dir):
-    """Batches of eight by id; size n takes the first n of every batch."""
-    rows = ops.with_pair_metrics(variants(spark, sf_dir), "fp32", "int8_batched").withColumn(
-        "pos", F.col("vec_id") % 8
-    )
-    return (
-        ops.by_batch_size(rows, "pos")
-        .groupBy("batch_size")
-        .agg(
-            r6(F.max("max_abs_diff")).alias("max_diff"), r6(F.avg("cosine")).alias("mean_cosine")
-        )
+    """Groups of eight by id; size n is the batch of the first n of every group."""
+    items = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 8").alias("grp"), (F.col("vec_id") % 8).alias("pos"))
+    members = ops.by_batch_size(items, "pos").drop("pos")
+    return batch_metrics(spark, sf_dir, members, "grp", "batch_size").groupBy("batch_size").agg(
+        r6(F.max("max_abs_diff")).alias("max_diff"), r6(F.avg("cosine")).alias("mean_cosine"), F.count("*").alias("members")
     )
 
 
@@ -307,54 +338,56 @@ MIXES_SQL = ", ".join(
 )
 
 
+CLASS_SQL = "CASE WHEN label < 3 THEN 'short' WHEN label < 6 THEN 'medium' ELSE 'very_long' END"
+
+
 @query(
     "v14_composition_sensitivity",
-    f"""WITH {VARIANTS_SQL}, m AS (
-  SELECT CASE WHEN label < 3 THEN 'short' WHEN label < 6 THEN 'medium' ELSE 'very_long' END AS length_class,
-    {metric_columns("fp32", "int8", "cosine", "max_abs_diff")} FROM variants)
+    f"""WITH {EXACT_SQL}, firsts AS (SELECT vec_id // 16 AS grp, {CLASS_SQL} AS length_class, min(vec_id) AS vec_id FROM exact GROUP BY ALL),
+possible AS (SELECT grp, composition, vec_id, count(*) OVER (PARTITION BY grp, composition) AS found
+  FROM firsts JOIN (VALUES {MIXES_SQL}) AS x(composition, length_class) USING (length_class)),
+members AS (SELECT grp, composition, vec_id FROM possible WHERE found = 3),
+{in_batches_sql("members", "grp", "composition")},
+m AS (SELECT composition, {metric_columns("single", "batched", "cosine", "max_abs_diff")} FROM placed)
 SELECT composition, {s6("max(max_abs_diff)")} AS max_diff, {s6("avg(cosine)")} AS mean_cosine, count(*) AS places
-FROM m JOIN (VALUES {MIXES_SQL}) AS x(composition, length_class) USING (length_class) GROUP BY composition""",
+FROM m GROUP BY composition""",
 )
 def composition_sensitivity(spark, sf_dir):
-    cls = (
-        F.when(F.col("label") < 3, "short").when(F.col("label") < 6, "medium").otherwise("very_long")
-    )
-    rows = ops.with_pair_metrics(
-        variants(spark, sf_dir).withColumn("length_class", cls), "fp32", "int8"
-    )
-    return (
-        ops.by_composition(rows, "length_class", MIXES)
-        .groupBy("composition")
-        .agg(
-            r6(F.max("max_abs_diff")).alias("max_diff"),
-            r6(F.avg("cosine")).alias("mean_cosine"),
-            F.count("*").alias("places"),
-        )
+    """Every mix of three length classes as a batch, out of the first items of each class among sixteen."""
+    label = F.col("label")
+    cls = F.when(label < 3, "short").when(label < 6, "medium").otherwise("very_long")
+    firsts = (
+        table(spark, sf_dir, "embeddings")
+        .groupBy(F.expr("vec_id div 16").alias("grp"), cls.alias("length_class"))
+        .agg(F.min("vec_id").alias("vec_id"))
+    )
+    places = ops.by_composition(firsts, "length_class", MIXES).drop("length_class")
+    found = F.count("*").over(Window.partitionBy("grp", "composition"))
+    members = places.withColumn("found", found).where("found = 3").drop("found")
+    return batch_metrics(spark, sf_dir, members, "grp", "composition").groupBy("composition").agg(
+        r6(F.max("max_abs_diff")).alias("max_diff"), r6(F.avg("cosine")).alias("mean_cosine"), F.count("*").alias("places")
     )
 
 
 @query(
     "v15_ordering_sensitivity",
-    f"""WITH {VARIANTS_SQL}, m AS (
-  SELECT vec_id // 3 AS triple, vec_id % 3 AS pos, {metric_columns("fp32", "int8", "max_abs_diff")} FROM variants),
-o AS (SELECT a.triple, a.pos || '-' || b.pos || '-' || c.pos AS ordering,
-    greatest(a.max_abs_diff, b.max_abs_diff * 1.1::DOUBLE, c.max_abs_diff * 1.2::DOUBLE) AS max_diff
-  FROM m a JOIN m b ON a.triple = b.triple AND a.pos <> b.pos
-  JOIN m c ON a.triple = c.triple AND c.pos <> a.pos AND c.pos <> b.pos)
+    f"""WITH {EXACT_SQL}, i AS (SELECT vec_id, vec_id // 3 AS triple, vec_id % 3 AS pos FROM exact),
+orders AS (SELECT a.triple, a.pos || '-' || b.pos || '-' || c.pos AS ordering, unnest([a.vec_id, b.vec_id, c.vec_id]) AS vec_id
+  FROM i a JOIN i b ON a.triple = b.triple AND a.pos <> b.pos
+  JOIN i c ON a.triple = c.triple AND c.pos <> a.pos AND c.pos <> b.pos),
+{in_batches_sql("orders", "triple", "ordering")},
+m AS (SELECT triple, ordering, {metric_columns("single", "batched", "max_abs_diff")} FROM placed),
+o AS (SELECT triple, ordering, max(max_abs_diff) AS max_diff FROM m GROUP BY triple, ordering)
 SELECT triple, count(*) AS orderings, {s6("max(max_diff)")} AS max_diff,
   {s6("var_pop(max_diff)", 10)} AS variance, var_pop(max_diff) < 1e-10 AS unaffected FROM o GROUP BY triple""",
 )
 def ordering_sensitivity(spark, sf_dir):
-    """All orders of every three items; later places weigh more, so that the order can matter."""
-    rows = ops.with_pair_metrics(variants(spark, sf_dir), "fp32", "int8").select(
-        F.expr("vec_id div 3").alias("triple"), (F.col("vec_id") % 3).alias("pos"), "max_abs_diff"
-    )
-    members = F.col("members")
-    worst = F.greatest(
-        *[members[i]["max_abs_diff"] * factor for i, factor in enumerate((1.0, 1.1, 1.2))]
-    )
-    ordered = ops.orderings(rows, "triple", "pos", "max_abs_diff").withColumn("max_diff", worst)
-    return ordered.groupBy("triple").agg(
+    """Every three items in all six orders as batches: the step does not depend on the order, so nothing varies."""
+    items = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 3").alias("triple"), (F.col("vec_id") % 3).alias("pos"))
+    orders = ops.orderings(items, "triple", "pos", "vec_id")
+    members = orders.select("triple", "ordering", F.explode("members.vec_id").alias("vec_id"))
+    worst = batch_metrics(spark, sf_dir, members, "triple", "ordering").groupBy("triple", "ordering").agg(F.max("max_abs_diff").alias("max_diff"))
+    return worst.groupBy("triple").agg(
         F.count("*").alias("orderings"),
         r6(F.max("max_diff")).alias("max_diff"),
         r6(F.var_pop("max_diff"), 10).alias("variance"),
@@ -505,20 +538,17 @@ def pruned_visits(spark, sf_dir):
 @query(
     "v19_cross_modal_pairs",
     f"""WITH {hashed_sql("documents", "doc_id", "text", 64, 64, "docs", "search_query")}
-SELECT d.doc_id, {s6("list_inner_product(d.v, e.embedding::DOUBLE[])")} AS similarity
-FROM docs d JOIN embeddings e ON e.vec_id = d.doc_id""",
+SELECT d.doc_id, e.vec_id, {s6("list_inner_product(d.v, e.embedding::DOUBLE[])")} AS similarity
+FROM docs d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT max(vec_id) + 1 FROM embeddings)""",
 )
 def cross_modal_pairs(spark, sf_dir):
-    """Text vector times image vector in one 64-wide space; the embeddings play the images."""
-    texts = embed_texts(
-        wide_table(spark, sf_dir, "documents"), "text", encoder=HashingTextEncoder(64)
-    )
-    image = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), F.col("embedding").alias("image_vector")
-    )
-    return texts.join(image, "doc_id").select(
-        "doc_id", r6(vectors.dot("embedding", "image_vector")).alias("similarity")
-    )
+    """Every text vector times its image vector in one 64-wide space; the embeddings play the images, round and round."""
+    image = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("image_vector"))
+    width = (image.agg(F.max("vec_id")).first()[0] or 0) + 1
+    docs = wide_table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % width).alias("vec_id"))
+    # Only texts with an image are encoded; the join moves ids and vectors, or nothing if the images are few.
+    texts = embed_texts(docs.join(image, "vec_id"), "text", encoder=HashingTextEncoder(64))
+    return texts.select("doc_id", "vec_id", r6(vectors.dot("embedding", "image_vector")).alias("similarity"))
 
 
 @query(
@@ -614,30 +644,73 @@ def variant_interference_table(spark, sf_dir):
 
 @query(
     "v23_precision_comparison",
-    f"""WITH {LONG_SQL}, b AS (SELECT vec_id // 4 AS batch_id, vec_id % 4 AS pos, * FROM m)
-SELECT variant AS precision, {s6("max(CASE WHEN pos = 0 THEN max_abs_diff END)")} AS different_text_diff_1,
-  {s6("max(CASE WHEN pos = 1 THEN max_abs_diff END)")} AS different_text_diff_2,
-  {s6("avg(CASE WHEN pos = 0 THEN cosine END)")} AS different_text_cos_1,
-  {s6("avg(CASE WHEN pos = 1 THEN cosine END)")} AS different_text_cos_2,
-  {s6("max(max_abs_diff)")} AS large_batch_diff, {s6("avg(cosine)")} AS large_batch_cos,
-  CASE WHEN max(max_abs_diff) < 1e-4 THEN 'perfect' WHEN max(max_abs_diff) < 0.01 THEN 'minimal'
-    ELSE 'significant' END AS verdict
-FROM b GROUP BY variant""",
+    f"""WITH {EXACT_SQL}, kinds AS (SELECT unnest(['same', 'same', 'different', 'different', 'large', 'large', 'large', 'large']) AS kind,
+    unnest([0, 1, 0, 1, 0, 1, 2, 3]) AS place, unnest([0, 0, 0, 1, 0, 1, 2, 3]) AS pos),
+members AS (SELECT vec_id, vec_id // 4 AS grp, kind, place FROM exact JOIN kinds ON vec_id % 4 = pos),
+{in_batches_sql("members", "grp", "kind")},
+long AS (SELECT grp, kind, place, 'fp32' AS variant, v AS a, v AS b FROM placed
+  UNION ALL SELECT grp, kind, place, 'fp16', list_transform(v, lambda x: floor(x * 1000 + 0.5) / 1000), list_transform(v, lambda x: floor(x * 1000 + 0.5) / 1000) FROM placed
+  UNION ALL SELECT grp, kind, place, 'int8', single, batched FROM placed),
+m AS (SELECT grp, kind, place, variant, b, {metric_columns("a", "b", "cosine", "max_abs_diff")} FROM long),
+twins AS (SELECT variant, max(list_max(list_transform(list_zip(x.b, y.b), lambda p: abs(p[1] - p[2])))) AS between
+  FROM m x JOIN m y USING (grp, variant) WHERE x.kind = 'same' AND y.kind = 'same' AND x.place = 0 AND y.place = 1 GROUP BY variant)
+SELECT variant AS precision, {s6("max(max_abs_diff) FILTER (kind = 'same' AND place = 0)")} AS same_text_diff_1,
+  {s6("max(max_abs_diff) FILTER (kind = 'same' AND place = 1)")} AS same_text_diff_2, {s6("any_value(between)")} AS same_text_between,
+  max(max_abs_diff) FILTER (kind = 'same') < 1e-4 AND any_value(between) < 1e-4 AS same_text_identical,
+  {s6("max(max_abs_diff) FILTER (kind = 'different' AND place = 0)")} AS different_text_diff_1,
+  {s6("max(max_abs_diff) FILTER (kind = 'different' AND place = 1)")} AS different_text_diff_2,
+  {s6("avg(cosine) FILTER (kind = 'different' AND place = 0)")} AS different_text_cos_1,
+  {s6("avg(cosine) FILTER (kind = 'different' AND place = 1)")} AS different_text_cos_2,
+  {s6("max(max_abs_diff) FILTER (kind = 'large')")} AS large_batch_diff, {s6("avg(cosine) FILTER (kind = 'large')")} AS large_batch_cos,
+  CASE WHEN max(max_abs_diff) FILTER (kind = 'different') < 1e-4 THEN 'perfect'
+    WHEN max(max_abs_diff) FILTER (kind = 'different') < 0.01 THEN 'minimal' ELSE 'significant' END AS verdict
+FROM m JOIN twins USING (variant) GROUP BY variant""",
 )
 def precision_comparison(spark, sf_dir):
-    rows = single_and_batched(spark, sf_dir).withColumn("pos", F.col("vec_id") % 4)
-
-    def at(pos, name):
-        return F.when(F.col("pos") == pos, F.col(name))
-
-    return rows.groupBy(F.col("variant").alias("precision")).agg(
-        r6(F.max(at(0, "max_abs_diff"))).alias("different_text_diff_1"),
-        r6(F.max(at(1, "max_abs_diff"))).alias("different_text_diff_2"),
-        r6(F.avg(at(0, "cosine"))).alias("different_text_cos_1"),
-        r6(F.avg(at(1, "cosine"))).alias("different_text_cos_2"),
-        r6(F.max("max_abs_diff")).alias("large_batch_diff"),
-        r6(F.avg("cosine")).alias("large_batch_cos"),
-        ops.half_precision_verdict(F.max("max_abs_diff")).alias("verdict"),
+    """Each precision alone against batches of the same item twice, of two items and of four."""
+    places = (("same", ((0, 0), (1, 0))), ("different", ((0, 0), (1, 1))), ("large", tuple((i, i) for i in range(4))))
+    at = {pos: [(kind, place) for kind, own in places for place, p in own if p == pos] for pos in range(4)}
+    slots = F.create_map(
+        *[x for pos, own in at.items() for x in (F.lit(pos).cast("bigint"), F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("place")) for k, p in own]))]
+    )
+    items = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 4").alias("grp"), F.explode(slots[F.col("vec_id") % 4]).alias("slot"))
+    members = items.select("vec_id", "grp", "slot.*")
+    rows = ops.in_batches(exact_vectors(spark, sf_dir).drop("label"), members, "vec_id", "grp", "kind")
+    half = F.transform("vector", lambda x: F.floor(x * 1000 + 0.5).cast("double") / 1000)
+    pairs = (("fp32", F.col("vector"), F.col("vector")), ("fp16", half, half), ("int8", F.col("single"), F.col("batched")))
+    forms = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), a.alias("a"), b.alias("b")) for n, a, b in pairs]))
+    long = rows.select("grp", "kind", "place", forms.alias("f")).select("grp", "kind", "place", "f.*")
+    measured = ops.with_pair_metrics(long.withColumn("form", F.col("b")), "a", "b")
+    # The two copies of one item in their batch, side by side.
+    same = measured.where("kind = 'same'").groupBy("grp", "variant").agg(
+        *[F.max(F.when(F.col("place") == p, F.col("form"))).alias(f"form_{p}") for p in (0, 1)]
+    )
+    between = ops.with_pair_metrics(same, "form_0", "form_1").groupBy("variant").agg(F.max("max_abs_diff").alias("between"))
+
+    def at_place(function, name, kind, place=None):
+        own = (F.col("kind") == kind) if place is None else (F.col("kind") == kind) & (F.col("place") == place)
+        return function(F.when(own, F.col(name)))
+
+    diff, cos = "max_abs_diff", "cosine"
+    summary = measured.groupBy("variant").agg(
+        at_place(F.max, diff, "same", 0).alias("same_text_diff_1"),
+        at_place(F.max, diff, "same", 1).alias("same_text_diff_2"),
+        at_place(F.max, diff, "different", 0).alias("different_text_diff_1"),
+        at_place(F.max, diff, "different", 1).alias("different_text_diff_2"),
+        at_place(F.avg, cos, "different", 0).alias("different_text_cos_1"),
+        at_place(F.avg, cos, "different", 1).alias("different_text_cos_2"),
+        at_place(F.max, diff, "large").alias("large_batch_diff"),
+        at_place(F.avg, cos, "large").alias("large_batch_cos"),
+    )
+    joined = summary.join(between, "variant")
+    different = F.greatest("different_text_diff_1", "different_text_diff_2")
+    same_text = F.greatest("same_text_diff_1", "same_text_diff_2", "between")
+    return joined.select(
+        F.col("variant").alias("precision"),
+        *[r6(c).alias(c) for c in summary.columns if c != "variant"],
+        r6("between").alias("same_text_between"),
+        ops.identical(same_text).alias("same_text_identical"),
+        ops.half_precision_verdict(different).alias("verdict"),
     )
 
 

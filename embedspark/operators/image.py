@@ -182,8 +182,13 @@ def rgb_view(data: bytes, w: int, h: int, channels: int) -> np.ndarray:
 
 
 def preprocessed(pixels: np.ndarray, config: Preprocess) -> np.ndarray:
-    """Channel-first float tensor of one picture; only the cropped part is resampled."""
-    planes = (pixels[:, :, :3] if config.do_convert_rgb else pixels).transpose(2, 0, 1)
+    """Channel-first float tensor of one picture; only the cropped part is resampled.
+
+    A crop larger than the picture is filled up with zeros on all sides, before rescaling.
+    """
+    if config.do_convert_rgb:
+        pixels = pixels[:, :, :3] if pixels.shape[2] >= 3 else np.repeat(pixels[:, :, :1], 3, axis=2)
+    planes = pixels.transpose(2, 0, 1)
     h, w = planes.shape[1:]
     goal_w, goal_h = w, h
     if config.do_resize:
@@ -192,12 +197,17 @@ def preprocessed(pixels: np.ndarray, config: Preprocess) -> np.ndarray:
             goal_h = h * goal_w // w
         elif config.keep_aspect:
             goal_w = w * goal_h // h
-    box = (0, 0, goal_w, goal_h)
+    crop_w, crop_h = goal_w, goal_h
     if config.do_center_crop:
         crop_h, crop_w = _pair(config.crop_size)
-        box = ((goal_w - crop_w) // 2, (goal_h - crop_h) // 2, crop_w, crop_h)
+    box = (max(0, (goal_w - crop_w) // 2), max(0, (goal_h - crop_h) // 2), min(crop_w, goal_w), min(crop_h, goal_h))
     kernel = FILTER_NUMBERS.get(config.resample, "bicubic")
     out = to_bytes(resize_planes(planes, goal_w, goal_h, kernel, box)).astype("f4")
+    if (crop_h, crop_w) != out.shape[1:]:
+        whole = np.zeros((len(planes), crop_h, crop_w), "f4")
+        left, top = max(0, -(-(crop_w - goal_w) // 2)), max(0, -(-(crop_h - goal_h) // 2))
+        whole[:, top : top + out.shape[1], left : left + out.shape[2]] = out
+        out = whole
     if config.do_rescale:
         # The usual factor is a division by 255 in single precision, which differs in the last bit.
         if config.rescale_factor == 1 / 255:
@@ -215,6 +225,15 @@ def _pictures(w: pa.Array, h: pa.Array, channels: pa.Array, data: pa.Array) -> I
         yield None if row[0] is None else rgb_view(*row)
 
 
+def _tensor(config: Preprocess, data: bytes | None, w: int, h: int, channels: int) -> np.ndarray | None:
+    """The tensor of a picture with all its channels; none if the means are not for so many channels."""
+    if data is None:
+        return None
+    if config.do_normalize and not config.do_convert_rgb and channels != len(config.image_mean):
+        return None
+    return preprocessed(np.frombuffer(data, np.uint8).reshape(h, w, channels), config).ravel()
+
+
 def _in_small_batches(columns: tuple[pa.Array, ...]) -> Iterator[tuple[pa.Array, ...]]:
     """Slices of a batch: results are far larger than inputs, so few may be held at a time."""
     for first in range(0, len(columns[0]), _IMAGES_PER_BATCH):
@@ -229,9 +248,8 @@ def image_tensor(config: Preprocess = CLIP) -> Column:
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch in batches:
             for part in _in_small_batches(batch):
-                yield float_lists(
-                    [None if p is None else preprocessed(p, config).ravel() for p in _pictures(*part)]
-                )
+                w, h, channels, data = (column.to_pylist() for column in part)
+                yield float_lists([_tensor(config, *row) for row in zip(data, w, h, channels)])
 
     return run("w", "h", "channels", "data")
 

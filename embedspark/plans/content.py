@@ -22,8 +22,8 @@ from embedspark.plans.fixtures import (
 )
 from embedspark.plans.registry import query, r6, s6
 from embedspark.session import shared_folder
-from embedspark.sources import exif, logs, payloads, sinks
-from embedspark.sources.images import decode_png, explode_pixels
+from embedspark.sources import exif, folder, logs, payloads, sinks
+from embedspark.sources.images import decode_png, decoded_files, explode_pixels
 
 
 @query(
@@ -173,6 +173,54 @@ def decode_pixels(spark, sf_dir):
     )
 
 
+@query(
+    "s10_decode_files",
+    f"""WITH {PIXELS_SQL}
+SELECT image_id, any_value(w) AS w, any_value(h) AS h, count(*) AS pixels,
+  sum(r * (1 + x))::BIGINT AS r, sum(g * (1 + y))::BIGINT AS g, sum(b * (1 + idx % 97))::BIGINT AS b FROM pixels GROUP BY image_id""",
+)
+def decode_files(spark, sf_dir):
+    """PNG files in a folder, decoded by Spark's image source; weighted sums per image."""
+    path = f"{shared_folder(spark)}/pictures"
+    names = F.concat(F.col("image_id").cast("string"), F.lit(".png"))
+    folder.write_folder(png_payloads(spark, sf_dir).select(names.alias("name"), "payload"), path)
+    files = decoded_files(spark, path)
+    packed = files.withColumn("image_id", F.regexp_extract("path", "([0-9]+)\\.png$", 1).cast("bigint")).drop("path")
+    return explode_pixels(packed).groupBy("image_id").agg(
+        F.first("w").alias("w"),
+        F.first("h").alias("h"),
+        F.count("*").alias("pixels"),
+        F.sum(F.col("r") * (1 + F.col("x"))).alias("r"),
+        F.sum(F.col("g") * (1 + F.col("y"))).alias("g"),
+        F.sum(F.col("b") * (1 + F.col("idx") % 97)).alias("b"),
+    )
+
+
+FILE_LIMIT = 4096
+
+
+@query(
+    "s8_folder_files",
+    f"""SELECT doc_id, strlen(text) AS length, CASE WHEN strlen(text) > {FILE_LIMIT} THEN 400 ELSE 200 END AS code,
+  CASE WHEN strlen(text) > {FILE_LIMIT} THEN 'Image too large: ' || strlen(text) || ' bytes (max 0 MB)' END AS message,
+  CASE WHEN strlen(text) <= {FILE_LIMIT} THEN md5(text) END AS digest FROM documents WHERE text IS NOT NULL""",
+)
+def folder_files(spark, sf_dir):
+    """Every text as a file of a folder, read back; files above the limit keep their row and are not opened."""
+    path = f"{shared_folder(spark)}/texts"
+    docs = wide_table(spark, sf_dir, "documents")
+    names = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    folder.write_folder(docs.select(names.alias("name"), F.col("text").cast("binary").alias("payload")), path)
+    files = folder.read_folder(spark, path, limit=FILE_LIMIT)
+    return files.select(
+        F.regexp_extract("path", "(-?[0-9]+)\\.txt$", 1).cast("bigint").alias("doc_id"),
+        "length",
+        "status.code",
+        "status.message",
+        F.md5("payload").alias("digest"),
+    )
+
+
 # Image requests from events: a user asks for one of its images in one of three sizes.
 ASKED_SQL = """asked AS (SELECT event_id, ts, 'image_' || user_id || '_' || (150 + 50 * (event_id % 3)) || 'x' || 300 AS key FROM events)"""
 
@@ -225,21 +273,12 @@ def result_sink(spark, sf_dir):
     )
 
 
-@query(
-    "s19_log_lines",
-    f"""WITH {REQUEST_LOG_SQL}
-SELECT request_id, CASE request_id % 3 WHEN 0 THEN 'text embed' WHEN 1 THEN 'text batch' ELSE 'image embed' END AS kind,
-  CASE WHEN request_id % 3 = 1 THEN batch_size END AS items,
-  CASE WHEN request_id % 3 < 2 THEN {s6("latency_ms / 4", 4)} END AS tokenize_ms,
-  CASE WHEN request_id % 3 = 2 THEN {s6("latency_ms / 4", 4)} END AS preprocess_ms, {s6("latency_ms", 2)} AS total_ms
-FROM request_log""",
-)
-def log_lines(spark, sf_dir):
-    """Timing lines of three handlers, made from the request log and read back from their text."""
+def timing_line():
+    """The line that a handler would have written for a request."""
     kind = F.col("request_id") % 3
     part = F.format_string("%.4f", F.col("latency_ms") / 4)
     total = F.format_string("%.2f", F.col("latency_ms"))
-    line = (
+    return (
         F.when(kind == 0, F.format_string("Text embed timing - tokenize: %sms, ONNX: 1.00ms, total: %sms", part, total))
         .when(
             kind == 1,
@@ -250,6 +289,20 @@ def log_lines(spark, sf_dir):
         )
         .otherwise(F.format_string("Image embed timing - preprocess: %sms, ONNX: 1.00ms, total: %sms", part, total))
     )
+
+
+@query(
+    "s19_log_lines",
+    f"""WITH {REQUEST_LOG_SQL}
+SELECT request_id, CASE request_id % 3 WHEN 0 THEN 'text embed' WHEN 1 THEN 'text batch' ELSE 'image embed' END AS kind,
+  CASE WHEN request_id % 3 = 1 THEN batch_size END AS items,
+  CASE WHEN request_id % 3 < 2 THEN {s6("latency_ms / 4", 4)} END AS tokenize_ms,
+  CASE WHEN request_id % 3 = 2 THEN {s6("latency_ms / 4", 4)} END AS preprocess_ms, {s6("latency_ms", 2)} AS total_ms
+FROM request_log""",
+)
+def log_lines(spark, sf_dir):
+    """Timing lines of three handlers, made from the request log and read back from their text."""
+    line = timing_line()
     log = request_log(spark, sf_dir).select("request_id", line.alias("line"))
     rows = logs.stage_timings(log)
     return rows.select(
@@ -262,6 +315,24 @@ def log_lines(spark, sf_dir):
     )
 
 
+@query(
+    "s19_log_scan",
+    f"""WITH {REQUEST_LOG_SQL}, lines AS (SELECT CASE request_id % 3 WHEN 0 THEN 'text embed' WHEN 1 THEN 'text batch' ELSE 'image embed' END AS kind,
+  CASE WHEN request_id % 3 = 1 THEN batch_size END AS items, round(latency_ms, 2) AS total_ms FROM request_log WHERE latency_ms IS NOT NULL)
+SELECT kind, items, count(*) AS lines, {s6("sum(total_ms)", 2)} AS total_ms, {s6("max(total_ms)", 2)} AS slowest_ms FROM lines GROUP BY kind, items""",
+)
+def log_scan(spark, sf_dir):
+    """The same lines as text files among lines of other kinds, scanned and summed by handler and batch size."""
+    path = f"{shared_folder(spark)}/log"
+    log = request_log(spark, sf_dir).where("latency_ms IS NOT NULL")
+    other = F.format_string("request %s took long - total: 99999.00ms", F.col("request_id").cast("string"))
+    log.select(F.explode(F.array(timing_line(), other)).alias("value")).write.text(path)
+    rows = logs.stage_timings(logs.log_lines(spark, path))
+    return rows.groupBy("kind", "items").agg(
+        F.count("*").alias("lines"), r6(F.sum("total_ms"), 2).alias("total_ms"), r6(F.max("total_ms"), 2).alias("slowest_ms")
+    )
+
+
 # --------------------------------------------------------------------------------------------------
 # Metadata
 

@@ -8,6 +8,7 @@ from embedspark.plans.fixtures import REQUEST_LOG_SQL, request_columns, table
 from embedspark.plans.registry import query, r6, s6
 from embedspark.plans.streams import TEXT_FORMAT
 from embedspark.session import shared_folder
+from embedspark.sources import sinks
 from embedspark.streaming import cache, sketches, streams
 
 SLICES = 4
@@ -176,3 +177,31 @@ def sketched_days(spark, sf_dir):
     return counts.select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), "endpoint", "total", "successful", *[in_bound(n, q) for n, q in sketches.QUANTILES.items()]
     )
+
+
+@query(
+    "x1_dated_sink",
+    f"""WITH {REQUEST_LOG_SQL} SELECT strftime(started_at, '%Y-%m-%d') AS day, endpoint, count(*) AS total, sum(tokens)::BIGINT AS tokens,
+  {s6("sum(latency_ms)", 3)} AS sum_ms FROM request_log GROUP BY ALL""",
+)
+def dated_sink(spark, sf_dir):
+    """The log as a stream into dated folders; every micro-batch is handed to the sink twice and counts once."""
+
+    def start(rows, path, checkpoint):
+        def twice(batch, number):
+            for _ in range(2):
+                sinks.commit_batch(batch, path, number, "day")
+
+        writer = rows.writeStream.foreachBatch(twice).option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start()
+
+    rows = streams.run_slices(
+        arriving(spark, sf_dir),
+        shared_folder(spark),
+        lambda source: source.withColumn("day", F.date_format("started_at", "yyyy-MM-dd")),
+        start,
+        lambda session, path: sinks.committed_rows(session, path, "day"),
+    )
+    return rows.groupBy(F.col("day").cast("string").alias("day"), "endpoint").agg(
+        F.count("*").alias("total"), F.sum("tokens").alias("tokens"), r6(F.sum("latency_ms"), 3).alias("sum_ms")
+    )

@@ -113,11 +113,12 @@ def latest_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def run_slices(slices: list[DataFrame], folder: str, build, start) -> DataFrame:
+def run_slices(slices: list[DataFrame], folder: str, build, start, read=None) -> DataFrame:
     """Feeds tables to a stream one after the other, a micro-batch each, and returns what it wrote.
 
     ``build`` makes the stream's result from its source, ``start(result, path, checkpoint)`` starts it. Each
-    slice is a run of its own that goes on from the checkpoint, as a daily job would.
+    slice is a run of its own that goes on from the checkpoint, as a daily job would. ``read(spark, path)`` opens what
+    was written, if it is not plain Parquet.
     """
     spark = slices[0].sparkSession
     for rows in slices:
@@ -127,4 +128,4 @@ def run_slices(slices: list[DataFrame], folder: str, build, start) -> DataFrame:
         run.awaitTermination()
         if run.exception():
             raise run.exception()
-    return spark.read.parquet(f"{folder}/out")
+    return read(spark, f"{folder}/out") if read else spark.read.parquet(f"{folder}/out")

@@ -275,3 +275,30 @@ def test_batch_query_equals_a_plain_loop(spark, sf_dir):
         vector = encoder.run(tensor[None])[0, 0]
         assert r["code"] == 200 and r["width"] == 64
         assert r["norm"] == pytest.approx(np.linalg.norm(vector[:64]) / np.linalg.norm(vector), abs=2e-4)
+
+
+def test_crop_larger_than_the_picture_is_filled_up():
+    pixels = np.arange(5 * 3 * 3, dtype=np.uint8).reshape(5, 3, 3)
+    config = ops.Preprocess(do_resize=False, do_center_crop=True, crop_size=(8, 2), do_rescale=False, do_normalize=False)
+    tensor = ops.preprocessed(pixels, config)
+    assert tensor.shape == (3, 8, 2)
+    # Two rows above and one below; the columns are cut as usual.
+    assert not tensor[:, :2].any() and not tensor[:, 7:].any()
+    assert np.array_equal(tensor[:, 2:7], pixels[:, 0:2].transpose(2, 0, 1))
+
+
+def test_channels_pass_on_without_conversion(spark):
+    plain = dict(do_resize=False, do_center_crop=False, do_rescale=False)
+    rows = [(1, 2, 1, 4, bytes(range(8))), (2, 2, 1, 3, bytes(range(6))), (3, 1, 1, 1, bytes([9])), (4, None, None, None, None)]
+    df = spark.createDataFrame(rows, "image_id long, w long, h long, channels int, data binary")
+
+    def tensors(**more):
+        found = df.select("image_id", ops.image_tensor(ops.Preprocess(**plain, **more)).alias("t")).collect()
+        return {r["image_id"]: r["t"] for r in found}
+
+    kept = tensors(do_convert_rgb=False, do_normalize=False)
+    assert kept == {1: [0, 4, 1, 5, 2, 6, 3, 7], 2: [0, 3, 1, 4, 2, 5], 3: [9], 4: None}
+    rgb = tensors(do_convert_rgb=True, do_normalize=False)
+    assert rgb == {1: [0, 4, 1, 5, 2, 6], 2: [0, 3, 1, 4, 2, 5], 3: [9, 9, 9], 4: None}
+    known = tensors(do_convert_rgb=False, do_normalize=True)
+    assert known[1] is None and known[3] is None and len(known[2]) == 6

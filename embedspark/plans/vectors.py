@@ -515,7 +515,7 @@ NEAREST_SQL = """pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id,
 
 def pruned_neighbors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    return pivot_search.pruned_top_k(rows, rows, 5, "vec_id", "vec_id", cell_rows=64)
+    return pivot_search.pruned_top_k(rows, rows, 5, "vec_id", "vec_id", cell_rows=256)
 
 
 @query(

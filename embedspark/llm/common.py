@@ -76,19 +76,16 @@ def text_slices(batch: pa.RecordBatch, column: str, max_chars: int = 500_000):
         yield batch.slice(first)
 
 
-_BUCKETS = 1 << 18
-
-
-def near_rows(rows: DataFrame, wanted: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+def near_rows(rows: DataFrame, wanted: DataFrame, column: str, buckets: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``column`` may be among the wanted values, and rows for which it surely is not.
 
-    Compares hash buckets: the broadcast holds at most 2**18 numbers whatever the tables' size. It
+    Compares hash buckets: the broadcast holds at most ``buckets`` numbers whatever the tables' size. It
     only spares the sure ones a shuffle; where buckets fill up, fewer rows are spared.
     """
-    bucket = F.coalesce(F.pmod(F.xxhash64(column), F.lit(_BUCKETS)), F.lit(-1)).alias("_bucket")
-    buckets = F.broadcast(wanted.select(bucket).distinct())
+    bucket = F.coalesce(F.pmod(F.xxhash64(column), F.lit(buckets)), F.lit(-1)).alias("_bucket")
+    taken = F.broadcast(wanted.select(bucket).distinct())
     tagged = rows.withColumn("_bucket", bucket)
-    near, far = (tagged.join(buckets, "_bucket", how).drop("_bucket") for how in ("left_semi", "left_anti"))
+    near, far = (tagged.join(taken, "_bucket", how).drop("_bucket") for how in ("left_semi", "left_anti"))
     return near, far
 
 

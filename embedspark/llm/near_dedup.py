@@ -12,25 +12,27 @@ similarity 0.8 misses all bands with probability 3e-5.
 
 *Verification.* Met pairs whose registers agree often enough are compared exactly. First only the
 strongest pairs that hold a band's members together are compared, and the links found give
-components. Then all other pairs that are not in one component yet are compared too. So large groups
-of copies cost about one comparison a member, yet no met pair between components is left out.
+components. Then every bucket that still holds several components compares all its pairs between
+components inside one task, where a link joins its components at once. So a bucket sends on less than
+one pair for each member however alike its texts are, yet no met pair between components is left out.
 
-Texts with equal words are one text from the start. Large buckets are cut into blocks and
-every pair of blocks is a cell, so no task gets more than two blocks.
+Texts with equal words are one text from the start. Large buckets are cut into blocks, by members and by
+characters, and every pair of blocks is a cell, so no task gets more than two blocks.
 
 Null and wordless texts are in a class of their own each (their key). Texts of fewer than five words have one
 shingle, all their words. Rows are told apart by a written row number, texts by the digest of their
 words; keys only name them and may be null or repeated. The first row of a class is the one with the
 smallest (key, text hash, row number), null keys last. The class id is that row's key, null if no row
 of the class has a key; where one key has several texts, ``class_hash`` (the first row's text hash)
-tells their classes apart. An empty table gives no rows. Further columns are ignored.
+tells their classes apart. An empty table gives no rows. Further columns may have any
+names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,9 @@ SIMILARITY = 0.8
 SHINGLE = 5
 ROWS, BANDS = 5, 26
 REGISTERS = ROWS * BANDS
-BLOCK = 512
+BLOCK, BLOCK_CHARS = 512, 16 << 20
+#: Hash buckets that spare texts a shuffle: a broadcast of at most so many numbers.
+_FILTER = 1 << 20
 #: 3.5 standard deviations of the estimate below the similarity asked for.
 LEAST_AGREEMENT = SIMILARITY - 3.5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 _MAX_WORDS = 1 << 17
@@ -110,7 +114,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sign():
-    names, kinds = ["row", "digest", "bands", "registers"], [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+    names = ["row", "digest", "size", "bands", "registers"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = mix64(np.arange(1, BANDS + 1, dtype="u8"))
@@ -120,14 +125,14 @@ def _sign():
                 for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist()):
                     words = (text or "").split()
                     if not words:
-                        rows.append((row, None, None, None))
+                        rows.append((row, None, None, None, None))
                         continue
                     digest = hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()
                     own = signature(*shingles(words))
                     bands = number.copy()
                     for k in range(ROWS):
                         bands = mix64(bands * _STEP + own.reshape(BANDS, ROWS)[:, k])
-                    rows.append((row, digest, bands.view("i8"), own.astype("<u4").tobytes()))
+                    rows.append((row, digest, len(text), bands.view("i8"), own.astype("<u4").tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -139,8 +144,33 @@ def _agreement(registers: np.ndarray, i: np.ndarray | slice) -> np.ndarray:
     return registers[i][:, None, :] == registers[None, :, :]
 
 
-def _cells(second: bool):
-    """Pairs to compare out of the cells; at first a strongest spanning forest, then all across components."""
+def _cell_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Each cell of two members and more, with its nodes and registers."""
+    for rows in whole_groups(batches, "cell", 1024):
+        cell = np.asarray(rows.column("cell").combine_chunks())
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        for start, end in zip(starts, np.r_[starts[1:], len(cell)]):
+            if end - start > 1:
+                part = rows.slice(start, end - start)
+                nodes = np.asarray(part.column("node").combine_chunks())
+                registers = np.frombuffer(b"".join(part.column("registers").to_pylist()), "<u4").reshape(-1, REGISTERS)
+                yield part, nodes, registers
+
+
+def _row_blocks(n: int) -> Iterator[np.ndarray]:
+    """Row numbers in parts whose comparison with all n rows takes bounded memory."""
+    step = max(1, 20_000_000 // (REGISTERS * n))
+    for at in range(0, n, step):
+        yield np.arange(at, min(n, at + step))
+
+
+def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(sorted({(min(p), max(p)) for p in found}), "i8").reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _strong_pairs():
+    """The strongest pairs that hold a cell's members together: less than one for each member."""
 
     def forest(share: np.ndarray) -> list[tuple[int, int]]:
         n, pairs = len(share), []
@@ -154,45 +184,56 @@ def _cells(second: bool):
             best[better], via[better] = share[k][better], k
         return pairs
 
-    def pairs_of(cell: pa.Table):
-        nodes = np.asarray(cell.column("node").combine_chunks())
-        registers = np.frombuffer(b"".join(cell.column("registers").to_pylist()), "<u4").reshape(len(nodes), REGISTERS)
-        n, step = len(nodes), max(1, 20_000_000 // (REGISTERS * len(nodes)))
-        if not second:
-            share = np.concatenate([_agreement(registers, slice(i, i + step)).mean(2) for i in range(0, n, step)])
-            found = forest(share)
-            i, j = (np.array(x, "i8") for x in zip(*found)) if found else (np.zeros(0, "i8"),) * 2
-        else:
-            labels, sides = (np.asarray(cell.column(c).combine_chunks()) for c in ("label", "side"))
-            i1, j1 = int(cell.column("i")[0].as_py()), int(cell.column("j")[0].as_py())
-            band = int(cell.column("number")[0].as_py())
-            rows, columns = [], []
-            for at in range(0, n, step):
-                own = np.arange(at, min(n, at + step))
-                equal = _agreement(registers, own)
-                good = equal.mean(2) >= LEAST_AGREEMENT
-                good &= labels[own][:, None] != labels[None, :]
-                if i1 != j1:
-                    good &= (sides[own] == i1)[:, None] & (sides == j1)[None, :]
-                # Of all bands in which two rows meet, the first one compares them.
-                r, c = np.nonzero(good)
-                met = equal[r, c].reshape(len(r), BANDS, ROWS).all(2)
-                keep = met.argmax(1) == band
-                rows.append(own[r[keep]])
-                columns.append(c[keep])
-            i, j = np.concatenate(rows), np.concatenate(columns)
-        a, b = np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
-        return a[a < b], b[a < b]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, nodes, registers in _cell_parts(batches):
+            share = np.concatenate([_agreement(registers, own).mean(2) for own in _row_blocks(len(nodes))])
+            yield _pair_batch([(int(nodes[i]), int(nodes[j])) for i, j in forest(share)])
+
+    return frugal(run)
+
+
+def _links_across():
+    """Links between a cell's components, compared exactly: less than one for each component."""
+
+    def candidates(cell: pa.Table, registers: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Pairs of rows of different components, those that agree most first."""
+        sides = np.asarray(cell.column("side").combine_chunks())
+        low, high, band = (int(cell.column(c)[0].as_py()) for c in ("i", "j", "number"))
+        every, found, shares = np.arange(len(labels)), [], []
+        for own in _row_blocks(len(labels)):
+            equal = _agreement(registers, own)
+            share = equal.mean(2)
+            good = (share >= LEAST_AGREEMENT) & (labels[own][:, None] != labels[None, :])
+            if low == high:
+                good &= own[:, None] < every[None, :]
+            else:
+                good &= (sides[own] == low)[:, None] & (sides == high)[None, :]
+            r, c = np.nonzero(good)
+            # Of all bands in which two rows meet, the first one compares them.
+            here = equal[r, c].reshape(len(r), BANDS, ROWS).all(2).argmax(1) == band
+            found.append(np.stack([own[r[here]], c[here]], axis=1))
+            shares.append(share[r[here], c[here]])
+        return np.concatenate(found)[np.argsort(-np.concatenate(shares), kind="stable")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, "cell", 4096):
-            cell = np.asarray(rows.column("cell").combine_chunks())
-            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            found = [pairs_of(rows.slice(s, e - s)) for s, e in zip(starts, np.r_[starts[1:], len(cell)]) if e - s > 1]
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found))
-                seen = np.unique(np.stack([a, b]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(seen[0]), pa.array(seen[1])], names=["a", "b"])
+        for cell, nodes, registers in _cell_parts(batches):
+            names, labels = np.unique(np.asarray(cell.column("label").combine_chunks()), return_inverse=True)
+            if len(names) == 1:
+                continue
+            parent, found, texts = list(range(len(names))), [], cell.column("text")
+
+            def top(label: int) -> int:
+                while parent[label] != label:
+                    parent[label] = label = parent[parent[label]]
+                return label
+
+            of = cache(lambda row: shingles(texts[row].as_py().split()))
+            for i, j in candidates(cell, registers, labels).tolist():
+                one, other = top(labels[i]), top(labels[j])
+                if one != other and similarity(of(i), of(j)) >= SIMILARITY - 1e-12:
+                    parent[one] = other
+                    found.append((int(nodes[i]), int(nodes[j])))
+            yield _pair_batch(found)
 
     return frugal(run)
 
@@ -201,23 +242,20 @@ def _verify():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lru_cache(maxsize=64)(lambda text: shingles(text.split()))
         for batch in batches:
-            a, b = [], []
-            for row in batch.to_pylist():
-                if similarity(of(row["text_a"]), of(row["text_b"])) >= SIMILARITY - 1e-12:
-                    a.append(row["a"])
-                    b.append(row["b"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for part in text_slices(batch, "text_a"):
+                good = [
+                    similarity(of(x.as_py()), of(y.as_py())) >= SIMILARITY - 1e-12
+                    for x, y in zip(part.column("text_a"), part.column("text_b"))
+                ]
+                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return frugal(run)
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that are similar enough, compared by their texts."""
-    ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    near, _ = near_rows(texts, ends, "row")
-    wanted = written(near.join(ends, "row", "left_semi"))
-    both = pairs.join(wanted.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(
-        wanted.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b"
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
     )
     return written(both.mapInArrow(_verify(), "a bigint, b bigint"))
 
@@ -228,25 +266,26 @@ def _place() -> Column:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number that stays, because it is written."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), codec="zstd")
+    """doc (all columns) and row: a number that stays, because it is written."""
+    every = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return written(docs.select(every.alias("doc"), F.monotonically_increasing_id().alias("row")), codec="zstd")
 
 
 def _classes(numbered: DataFrame, key: str, text: str) -> DataFrame:
     """One row per numbered row: row, key, first (place of the first row of its class)."""
-    rows = numbered.select(F.col("_row").alias("row"), F.col(text).alias("text"))
-    signed = written(rows.mapInArrow(_sign(), "row bigint, digest binary, bands array<bigint>, registers binary"))
+    rows = numbered.select("row", F.col("doc")[text].alias("text"))
+    signed = written(rows.mapInArrow(_sign(), "row bigint, digest binary, size bigint, bands array<bigint>, registers binary"))
     digests = signed.where("digest is not null").select("row", "digest")
     # A node is a text: it is named by the smallest row number that has it.
     firsts = written(digests.groupBy("digest").agg(F.min("row").alias("node")))
     nodes = signed.join(firsts.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
 
-    met = nodes.select("node", F.posexplode("bands").alias("number", "band"))
-    sizes = met.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    members = written(met.join(sizes, "band"))
+    met = nodes.select("node", "size", F.posexplode("bands").alias("number", "band"))
+    sizes = met.groupBy("band").agg(F.count("*").alias("members"), F.sum("size").alias("chars")).where("members > 1")
+    members = written(met.drop("size").join(sizes, "band"))
     registers = written(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "registers"))
     # A bucket of more than one block becomes a triangle of cells.
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int")
     side = F.pmod(F.xxhash64("node"), blocks).cast("int")
     celled = (
         members.withColumns({"side": side, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
@@ -254,24 +293,28 @@ def _classes(numbered: DataFrame, key: str, text: str) -> DataFrame:
         .withColumn("cell", F.xxhash64("band", "i", "j"))
         .select("cell", "number", "i", "j", "side", "node")
     )
-    columns = ["cell", "number", "i", "j", "side", "node", "registers"]
-    cells = celled.join(registers, "node").select(*columns)
-    strong = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(False), "a bigint, b bigint")
+    cells = celled.select("cell", "node").join(registers, "node").select("cell", "node", "registers")
+    strong = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_strong_pairs(), "a bigint, b bigint")
     strong = written(strong.distinct())
-    links = _links(strong, rows)
+    # Who is in no strong pair agrees nowhere often enough, so these texts are all that is compared.
+    ends = written(strong.select(F.col("a").alias("row")).union(strong.select("b")).distinct())
+    near, _ = near_rows(rows, ends, "row", _FILTER)
+    texts = written(near.join(ends, "row", "left_semi").withColumnRenamed("row", "node"))
+    links = _links(strong, texts)
     labels = components(links)
 
-    named = celled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = celled.join(ends.select(F.col("row").alias("node")), "node", "left_semi")
+    named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = named.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    rest = named.join(written(open_.select("cell")), "cell").join(registers, "node").select(*columns, "label")
-    weak = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(True), "a bigint, b bigint")
-    weak = written(weak.distinct().join(strong, ["a", "b"], "left_anti"))
-    more = _links(weak, rows)
+    rest = named.join(written(open_.select("cell")), "cell").join(registers, "node").join(texts, "node")
+    more = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links_across(), "a bigint, b bigint")
+    more = written(more.distinct())
     if not more.isEmpty():
         labels = components(links.union(more))
 
     names = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
-    places = numbered.select(F.col("_row").alias("row"), F.col(key).cast("bigint").alias("key"), F.xxhash64(text).alias("hash"))
+    own_key, own_text = F.col("doc")[key], F.col("doc")[text]
+    places = numbered.select("row", own_key.cast("bigint").alias("key"), F.xxhash64(own_text).alias("hash"))
     wordy = written(digests.join(names, "digest").select("row", "label").join(places, "row"))
     first = wordy.groupBy("label").agg(F.min(_place()).alias("first"))
     wordless = places.join(signed.where("digest is null").select("row"), "row", "left_semi")
@@ -295,7 +338,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     with recording() as folders:
         numbered = _numbered(docs)
         classes = _classes(numbered, key, text)
-        gone = written(classes.where("row <> first.row").select(F.col("row").alias("_row")))
+        gone = written(classes.where("row <> first.row").select("row"))
     discard(docs.sparkSession, folders, keep=(numbered, gone))
-    near, far = near_rows(numbered, gone, "_row")
-    return near.join(gone, "_row", "left_anti").unionByName(far).select(*docs.columns)
+    near, far = near_rows(numbered, gone, "row", _FILTER)
+    return near.join(gone, "row", "left_anti").unionByName(far).select("doc.*")

@@ -430,6 +430,44 @@ def test_near_duplicates_by_row(spark):
     assert len({(r["class_id"], r["class_hash"]) for r in classes}) == 8
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_near_duplicates_in_a_group_below_the_threshold(spark, monkeypatch, block):
+    """Many texts alike at about 0.71, a few of them with partners above 0.8: only those are linked."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    random = np.random.default_rng(3)
+    base, fresh = [f"w{w}" for w in random.integers(0, 10**6, 300)], iter(range(10**6))
+
+    def changed(words: list[str], n: int) -> list[str]:
+        own = list(words)
+        for at in random.choice(len(own), n, replace=False):
+            own[at] = f"fresh{next(fresh)}"
+        return own
+
+    texts = [changed(base, 10) for _ in range(60)]
+    for k in (0, 0, 5, 60, 61, 7):
+        texts.append(changed(texts[k], 2))
+    sets = [near_dedup.shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if near_dedup.similarity(sets[a], sets[b]) >= 0.8 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert 40 < len(set(label)) < len(texts)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = near_dedup.near_duplicates(docs).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == dict(enumerate(label))
+
+
+def test_keep_first_passes_any_columns_on(spark):
+    names = ["doc_id", "text", "_row", "row", "doc", "_bucket", "a.b", "with blank", "back`tick"]
+    rows = [(k, "one two three four five six" if k < 2 else None, 70 + k, 1, "x", 2, 3, 4, 5) for k in range(3)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n.replace('`', '``')}` {'string' if n in ('text', 'doc') else 'long'}" for n in names))
+    kept = near_dedup.keep_first(docs)
+    assert kept.columns == names
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+
+
 def test_signature_estimates_probability_jaccard():
     random = np.random.default_rng(6)
     a = np.unique(random.integers(0, 2**62, 300).astype("u8"))

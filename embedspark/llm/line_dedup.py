@@ -1,24 +1,33 @@
-"""Substring deduplication by line digests.
+"""Substring deduplication by digests of lines or of passages.
 
-The lines of all texts are normalised (lower case, single blanks) and digested. Of the lines with one
-digest the earliest by (key, text hash, line number) stays, all others go. What is removed is told by
-line number and by original offsets.
+*Lines* (``dedup_lines``): the lines of all texts are normalised (lower case, single blanks) and digested. Of
+the lines with one digest the earliest by (key, text hash, line number) stays, all others go. Lines with fewer
+than ``min_words`` words are never removed.
 
-Lines with fewer than ``min_words`` words are never removed; with 1 every line that holds a word takes
-part, and only blank lines stay for sure. Null texts stay null. Null keys come last
-in the order. Rows with the same key and the same text are one document: they get the same result.
-An empty table gives no rows. Further columns are ignored.
+*Passages* (``dedup_passages``): a lone short line says little, since different documents hold it by chance, and
+what is copied may stand inside a line. So lines are cut at the ends of sentences into units, and a
+passage is a run of consecutive units of one document that holds ``min_words`` words, without a unit more than
+that takes (counted from its first unit or back from its last one). Passages are normalised, digested and
+grouped over all documents. The earliest by (key, text hash, unit number) stays; of all others every unit
+goes, so what goes stands at an earlier place still. Units in no passage that stands earlier stay. A text
+with fewer words than ``min_words`` has no passage.
+
+What is removed is told by original offsets. A line that loses all its units goes with its line end. Null texts
+stay null. Null keys come last in the order. Rows with the same key and the same text are one document: they
+get the same result. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from embedspark.llm.common import text_slices
+from embedspark.llm.common import frugal, text_slices
 
 _UNITS = "key bigint, tie bigint, unit int, start bigint, end bigint, digest binary"
 _NAMES = ["key", "tie", "unit", "start", "end", "digest"]
@@ -84,3 +93,115 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
         ),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
     )
+
+
+#: Where a unit ends: at the end of a line, or after a sentence's last character.
+_UNIT_END = re.compile(r"\n|(?<=[.!?])[^\S\n]+|(?<=[。！？])")
+
+
+def sentence_units(text: str) -> list[tuple[int, int]]:
+    """Start and end (characters) of the units that hold a word."""
+    ends = [m.span() for m in _UNIT_END.finditer(text)] + [(len(text), len(text))]
+    starts = [0, *[after for _, after in ends[:-1]]]
+    return [(start, end) for start, (end, _) in zip(starts, ends) if text[start:end].strip()]
+
+
+def passages(lengths: list[int], min_words: int) -> list[tuple[int, int]]:
+    """First and last unit of all shortest runs of units that hold so many words."""
+    total = np.concatenate([[0], np.cumsum(np.array(lengths, "i8"))])
+    n = len(lengths)
+    first = np.arange(n)
+    last = np.searchsorted(total, total[:-1] + min_words) - 1  # from each first unit on
+    forward = np.stack([first, last], axis=1)[last < n]
+    start = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # back from each last unit
+    back = np.stack([start, first], axis=1)[start >= 0]
+    return [tuple(run) for run in np.unique(np.concatenate([forward, back]), axis=0).tolist()]
+
+
+def _passages(min_words: int):
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["key", "tie", "unit", "units", "digest"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                rows = []
+                for key, tie, text in zip(*[part.column(c).to_pylist() for c in ("key", "tie", "text")]):
+                    words = [text[start:end].lower().split() for start, end in sentence_units(text or "")]
+                    joined = [" ".join(own).encode("utf-8", "surrogatepass") for own in words]
+                    for first, last in passages([len(own) for own in words], min_words):
+                        digest = hashlib.md5(b" ".join(joined[first : last + 1])).digest()
+                        rows.append((key, tie, first, last - first + 1, digest))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    return frugal(run)
+
+
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without some units; lines that keep nothing go too."""
+    lines, at, number = [], 0, 0
+    for line in text.split("\n"):
+        end, place, parts, cut = at + len(line), at, [], False
+        while number < len(spans) and spans[number][0] < end:
+            parts.append(text[place : spans[number][0]])
+            place, number, cut = spans[number][1], number + 1, True
+            while place < end and text[place].isspace():
+                place += 1
+        rest = "".join(parts) + text[place:end]
+        if not cut:
+            lines.append(rest)
+        elif rest.strip():
+            lines.append(rest.rstrip())
+        at = end + 1
+    return "\n".join(lines)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_RESULT = "doc_id bigint, n_units bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, text string"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), _SPANS, pa.string()]
+    names = ["doc_id", "n_units", "n_removed", "removed", "text"]
+    for batch in batches:
+        for part in text_slices(batch, "text"):
+            rows = []
+            for key, text, runs in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "gone")]):
+                units = sentence_units(text or "")
+                gone = np.zeros(len(units) + 1, "i8")
+                for run in runs or ():
+                    gone[run["unit"]] += 1
+                    gone[run["unit"] + run["units"]] -= 1
+                spans = [units[k] for k in np.flatnonzero(np.cumsum(gone)[:-1])]
+                kept = without_spans(text, spans) if spans else text
+                rows.append((key, len(units), len(spans), [{"start": s, "end": e} for s, e in spans], kept))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+def removed_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 15) -> DataFrame:
+    """The passages that stand earlier too: key, tie (hash of the text), unit (the first one), units (how many)."""
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    runs = rows.mapInArrow(_passages(min_words), "key bigint, tie bigint, unit int, units int, digest binary")
+    place = F.struct(F.col("key").isNull().alias("late"), "key", "tie", "unit")
+    first = (
+        runs.groupBy("digest")
+        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        .where("first <> last")
+        .select("digest", "first")
+    )
+    return runs.join(first, "digest").where(place != F.col("first")).select("key", "tie", "unit", "units").distinct()
+
+
+def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 15) -> DataFrame:
+    """One row per row: doc_id, n_units, n_removed, removed (spans of characters), text (what stays)."""
+    gone = (
+        removed_passages(docs, key, text, min_words)
+        .groupBy("key", "tie")
+        .agg(F.collect_list(F.struct("unit", "units")).alias("gone"))
+        .select(F.col("key").alias("gone_key"), F.col("tie").alias("gone_tie"), "gone")
+    )
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_key")) & (F.col("tie") == F.col("gone_tie")), "left")
+    return joined.select("doc_id", "text", "gone").mapInArrow(frugal(_cut), _RESULT)

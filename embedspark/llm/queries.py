@@ -71,8 +71,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier place has already; every line that holds a word counts."""
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_words=1)
+    """Documents without the passages of 15 words that an earlier place has already."""
+    return line_dedup.dedup_passages(table(spark, sf_dir, "documents"))
 
 
 @_query

@@ -309,15 +309,70 @@ def lines_kept(rows):
     return {key: "\n".join(kept.get(key, [])) for key, _ in rows}
 
 
-def test_line_dedup_query_has_no_floor(spark, texts, tmp_path):
+def test_line_dedup_without_a_floor(spark, texts):
     short = [(-2, "Home\nAbout us\n\none two three four\nhome"), (-1, "\n \nhome\n  ABOUT   us\nNew\n"), (-3, "new")]
     rows = short + sorted(texts.items())
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r["doc_id"]: r["text"] for r in queries.QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, min_words=1).collect()}
     assert found == lines_kept(rows)
     assert found[-2] == "Home\nAbout us\n\none two three four" and found[-1] == "\n \n"
 
 
+def removed_by_brute_force(rows):
+    """Removed spans of (key, text) rows with a key each: units of passages of 15 words that stand earlier."""
+    seen, removed = set(), {}
+    for key, text in sorted(rows):
+        cuts = sorted({0, len(text), *[k for i, c in enumerate(text) for k in (i, i + 1) if c == "\n"]}
+                      | {i + 1 for i, c in enumerate(text) if c in ".!?" and text[i + 1 : i + 2].isspace()}
+                      | {i + 1 for i, c in enumerate(text) if c in "。！？"})
+        units = [(len(a) - len(a.lstrip()) + s, e, a.lower().split()) for s, e in zip(cuts, cuts[1:]) if (a := text[s:e]).strip()]
+        runs = set()
+        for i in range(len(units)):
+            held = lambda a, b: sum(len(u[2]) for u in units[a:b])
+            runs |= {(i, next(j for j in range(i, len(units) + 1) if held(i, j) >= 15))} if held(i, len(units)) >= 15 else set()
+            runs |= {(next(j for j in range(i, -1, -1) if held(j, i + 1) >= 15), i + 1)} if held(0, i + 1) >= 15 else set()
+        gone = set()
+        for i, j in sorted(runs):
+            words = tuple(w for u in units[i:j] for w in u[2])
+            if words in seen:
+                gone |= set(range(i, j))
+            seen.add(words)
+        removed[key] = [units[k][:2] for k in sorted(gone)]
+    return removed
+
+
+def test_passage_dedup_query(spark, texts, tmp_path):
+    long = "This sentence is here to be copied. It has\nsome more words in it! And a few words follow now. Short end."
+    rows = [
+        (-9, f"Something else first. {long} Own words stay."), (-8, f"Quite another start?\n{long.upper()}\nOther words."),
+        (-7, "home\nabout us"), (-6, "home\nabout us"), (-5, "go on now. " * 12), (-4, ""), (-3, "。".join(["一 二 三 四 五"] * 9)),
+        *sorted(texts.items()),
+    ]
+    spark.createDataFrame([*rows, (-2, None), (None, long)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    originals = dict(rows)
+    for key, spans in removed_by_brute_force(rows).items():
+        row, text = found[key], originals[key]
+        # A unit may begin with the blanks of an indented line.
+        assert [(s["end"] - len(text[s["start"] : s["end"]].lstrip()), s["end"]) for s in row["removed"]] == spans
+        assert row["n_removed"] == len(spans)
+        kept, at = [], 0
+        for start, end in spans:
+            kept, at = [*kept, text[at:start]], end
+        assert "".join(row["text"].split()) == "".join("".join([*kept, text[at:]]).split())
+    assert found[-8]["text"] == "Quite another start?\nOther words." and found[-6]["text"] == "home\nabout us"
+    assert found[-5]["text"] == "go on now. ".strip() and found[-2]["text"] is None
+    assert found[None]["text"] == "" and found[None]["n_removed"] == 5
+
+
+def test_passage_dedup_of_odd_rows(odd, empty):
+    rows = line_dedup.dedup_passages(odd).collect()
+    assert len(rows) == len(ODD)
+    assert {r["text"] for r in rows if r["doc_id"] in (1, 2, 3)} == {None, "", "  \n\t "}
+    assert all(r["n_removed"] == 0 for r in rows)
+    assert line_dedup.dedup_passages(empty).count() == 0
+
+
 def brute_spans(data, length):
     places = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     out = []

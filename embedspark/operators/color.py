@@ -323,10 +323,13 @@ def top_clusters(histogram: DataFrame, n: int = 5, require_full: bool = True, im
 
 
 def key_ranks(histogram: DataFrame, colors: DataFrame, image: str = "image_id") -> DataFrame:
-    """For given (image, key): whether the cluster exists, its count and 1-based count rank."""
+    """For given (image, key): whether the cluster exists, its count and 1-based count rank.
+
+    Clusters are many more than the images whose size Spark sees, so the join is a merge join, not a broadcast.
+    """
     order = Window.partitionBy(image).orderBy(F.desc("cnt"))
     ranked = histogram.select(image, "key", "cnt", F.rank().over(order).alias("rank"))
-    return colors.join(ranked, [image, "key"], "left").withColumn("exists", F.col("cnt").isNotNull())
+    return colors.join(ranked.hint("merge"), [image, "key"], "left").withColumn("exists", F.col("cnt").isNotNull())
 
 
 _PLACE, _COLOR = 10**20, 10**8  # decimal places of a packed pixel: distance, position (12 digits), colour (8 digits)

@@ -220,3 +220,12 @@ def test_packed_histogram_equals_the_long_form(spark):
         for name in row.asDict():
             if name.startswith(("sum_", "log_")):
                 assert got[key][name] == pytest.approx(row[name], rel=1e-12)
+
+
+def test_key_ranks_never_broadcasts_the_histogram(spark):
+    rows = pixel_rows(1, [(255, 0, 0)] * 2 + [(0, 0, 255)]) + pixel_rows(2, [(0, 255, 0)])
+    histogram = ops.cluster_histogram(spark.createDataFrame(rows, PIXELS))
+    asked = ops.with_cluster_key(spark.createDataFrame(pixel_rows(1, [(0, 0, 255)]), PIXELS)).select("image_id", "key")
+    found = ops.key_ranks(histogram, asked)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["cnt"], r["rank"], r["exists"]) for r in found.collect()] == [(1, 2, True)]

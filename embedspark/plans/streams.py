@@ -14,8 +14,9 @@ TEXT_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def stream_of(spark, sf_dir, name):
+    """A given table as a stream, be it one file or a folder of files: a pattern may match either, a plain path only a folder."""
     schema = table(spark, sf_dir, name).schema
-    return streams.parquet_stream(spark, sf_dir, schema, files=f"{name}.parquet")
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def log_stream(spark, sf_dir):

@@ -95,3 +95,17 @@ def test_shared_folder_is_the_one_the_cluster_names(spark, tmp_path):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(ClusterSession("spark://host:7077", {}))
     assert shared_folder(spark).startswith("/tmp/")
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_tables_that_are_a_file_or_a_folder_are_streamed_whole(spark, tmp_path, parts):
+    from embedspark.plans.catalog import QUERIES
+
+    rows = [(i, f"text number {i}", "en", "web", 13) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    if parts == 1:
+        docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    else:
+        docs.repartition(parts).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["x1_stream_embedding"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["tokens"]) for r in found) == [(i, 9) for i in range(9)]

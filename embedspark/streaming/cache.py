@@ -6,7 +6,8 @@ when the expiry has passed without a request, by event time.
 
 Tasks first fold the requests of a key and of a short time bucket into one row (first and last request, count). No gap
 inside a bucket can reach the expiry, so this changes nothing, and a key with a third of all requests
-reaches its state as few rows. State holds five numbers a key, and only for open entries: a timer removes it.
+reaches its state as few rows. State holds five numbers a key, and only for open entries: a timer removes them.
+Keys are dealt by hash to ``groups`` groups, whose entries are kept, and changed by array operations, together.
 A bucket is late, and dropped, as a whole: when its end lies before the watermark.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -25,6 +27,9 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 _STATE = "opened_at bigint, first_id bigint, last_at bigint, last_id bigint, requests bigint"
 EVENTS = f"kind string, key string, {_STATE}"
 _NAMES = [field.split()[0] for field in EVENTS.split(", ")]
+_COLUMNS = "key array<string>, " + ", ".join(f"{name} array<bigint>" for name in _NAMES[2:])
+#: Groups of keys that share a value of state.
+_GROUPS = 256
 
 
 @contextmanager
@@ -56,54 +61,79 @@ def _folded(bucket_us: int):
 
 
 class _Entries(StatefulProcessor):
+    """The open entries of one group of keys as columns of one value, with one timer for the first that may expire.
+
+    A call to the state store costs far more than an entry, so a group reads, changes and writes all its entries at once.
+    """
+
     def __init__(self, expiry_us: int):
         self.expiry_us = expiry_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.entry = handle, handle.getValueState("entry", _STATE)
+        self.handle, self.entries = handle, handle.getValueState("entries", _COLUMNS)
+
+    def _timers(self, entries: pd.DataFrame) -> pd.Series:
+        return (entries["last_at"] + self.expiry_us) // 1000 + 1
 
-    def _timer(self, last_at: int) -> int:
-        return (last_at + self.expiry_us) // 1000 + 1
+    def _opened(self) -> pd.DataFrame:
+        value = self.entries.get() if self.entries.exists() else [[] for _ in _NAMES[1:]]
+        numbers = {name: np.array(part, "i8") for name, part in zip(_NAMES[2:], value[1:])}
+        return pd.DataFrame({"key": pd.Series(value[0], dtype=object), **numbers})
 
-    def _event(self, kind: str, key, entry) -> tuple:
-        return (kind, key[0], *entry) if kind == "closed" else (kind, key[0], entry[0], entry[1], None, None, None)
+    def _store(self, entries: pd.DataFrame) -> None:
+        if entries.empty:
+            self.entries.clear()
+            return
+        self.entries.update(tuple(entries[name].tolist() for name in _NAMES[1:]))
+        self.handle.registerTimer(int(self._timers(entries).min()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        columns = ["first_at", "first_id", "last_at", "last_id", "requests"]
-        folded = [tuple(map(int, row)) for part in rows for row in part[columns].itertuples(index=False)]
-        before = tuple(self.entry.get()) if self.entry.exists() else None
-        entry, events = before, []
-        for row in sorted(folded):
-            if entry is None or row[0] - entry[2] > self.expiry_us:
-                if entry is not None:
-                    events.append(self._event("closed", key, entry))
-                entry = row
-                events.append(self._event("miss", key, entry))
-            else:
-                last_at, last_id = max(entry[2:4], row[2:4])
-                entry = (entry[0], entry[1], last_at, last_id, entry[4] + row[4])
-        if before is not None:
-            self.handle.deleteTimer(self._timer(before[2]))
-        self.entry.update(entry)
-        self.handle.registerTimer(self._timer(entry[2]))
-        yield _frame(events)
+        before = self._opened()
+        asked = pd.concat([part.rename(columns={"first_at": "opened_at"})[_NAMES[1:]] for part in rows])
+        after, events = _continued(before, asked, self.expiry_us)
+        if not before.empty:
+            self.handle.deleteTimer(int(self._timers(before).min()))
+        self._store(after)
+        yield events
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        events = [self._event("closed", key, tuple(self.entry.get()))] if self.entry.exists() else []
-        self.entry.clear()
-        yield _frame(events)
+        entries = self._opened()
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        expired = self._timers(entries) <= until
+        self._store(entries[~expired])
+        yield _events(entries[expired], "closed")
 
     def close(self) -> None:
         pass
 
 
-def _frame(events: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(events, columns=_NAMES)
+def _continued(before: pd.DataFrame, asked: pd.DataFrame, expiry_us: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The open entries after folded requests have come, and the events; the entry of a key comes before its requests."""
+    rows = pd.concat([before.assign(new=0), asked.assign(new=1)], ignore_index=True)
+    rows["code"] = pd.factorize(rows["key"])[0]
+    rows = rows.sort_values(["code", "new", "opened_at", "first_id", "last_at", "last_id"], ignore_index=True)
+    latest = rows.groupby("code")["last_at"].cummax()
+    first = rows["code"] != rows["code"].shift()
+    rows["entry"] = (first | (rows["opened_at"] - latest.shift(fill_value=0) > expiry_us)).cumsum()
+    heads = rows.drop_duplicates("entry")
+    ends = rows.sort_values(["entry", "last_at", "last_id"]).drop_duplicates("entry", keep="last")
+    entries = heads.assign(
+        last_at=ends["last_at"].to_numpy(), last_id=ends["last_id"].to_numpy(), requests=rows.groupby("entry")["requests"].sum().to_numpy()
+    )
+    followed = entries["code"].duplicated(keep="last")
+    events = pd.concat([_events(entries[entries["new"] == 1], "miss"), _events(entries[followed], "closed")])
+    return entries[~followed], events
+
+
+def _events(entries: pd.DataFrame, kind: str) -> pd.DataFrame:
+    frame = entries.assign(kind=kind)[_NAMES].astype({name: "Int64" for name in _NAMES[2:]})
+    if kind == "miss":
+        frame[["last_at", "last_id", "requests"]] = pd.NA
     return frame.astype({name: "Int64" for name in _NAMES[2:]})
 
 
 def cache_events(
-    requests: DataFrame, key: Column, time: Column, request_id: Column, expiry_s: int = 3600, lateness_s: int = 600, bucket_s: int = 600
+    requests: DataFrame, key: Column, time: Column, request_id: Column, expiry_s: int = 3600, lateness_s: int = 600, bucket_s: int = 600, groups: int = _GROUPS
 ) -> DataFrame:
     """A row ``miss`` for each entry opened and a row ``closed``, with its counts, for each that has expired.
 
@@ -124,7 +154,8 @@ def cache_events(
     timed = folded.withColumn("bucket_end", F.timestamp_micros((F.col("bucket") + 1) * bucket_us))
     entries = (
         timed.withWatermark("bucket_end", f"{lateness_s} seconds")
-        .groupBy("key")
+        .withColumn("part", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int"))
+        .groupBy("part")
         .transformWithStateInPandas(_Entries(expiry_s * 1_000_000), EVENTS, "append", "eventTime")
     )
     return entries.withColumn("key", F.when(F.col("key") != "-", F.expr("substring(key, 2)")))

@@ -36,10 +36,10 @@ def plain_entries(rows):
     return Counter(misses), Counter(closed)
 
 
-def cache_run(spark, tmp_path, batches):
+def cache_run(spark, tmp_path, batches, **options):
     schema = "key string, at timestamp, id bigint"
     slices = [spark.createDataFrame(rows, schema).repartition(3) for rows in batches]
-    build = lambda source: cache.cache_events(source, F.col("key"), F.col("at"), F.col("id"))
+    build = lambda source: cache.cache_events(source, F.col("key"), F.col("at"), F.col("id"), **options)
     with cache.rocksdb_state(spark):
         found = streams.run_slices(slices, str(tmp_path), build, streams.append_to_parquet).collect()
     misses = Counter((r["key"], r["opened_at"], r["first_id"]) for r in found if r["kind"] == "miss")
@@ -83,6 +83,19 @@ def test_cache_hits_refresh_ties_and_late_rows(spark, tmp_path):
     )
 
 
+def test_cache_keeps_the_keys_of_a_group_apart(spark, tmp_path):
+    at = lambda minutes: START + dt.timedelta(minutes=minutes)
+    batches = [
+        [(f"k{i}", at(i), i) for i in range(40)] + [(None, at(5), 40)],
+        [(f"k{i}", at(60 + i + i % 2), 100 + i) for i in range(40)],  # every second one is a minute above the hour
+        [("end", at(3000), 900)],
+    ]
+    misses, closed = cache_run(spark, tmp_path, batches, groups=1)
+    expected_misses, expected_closed = plain_entries([r for part in batches for r in part])
+    assert misses == expected_misses
+    assert closed == Counter({c: n for c, n in expected_closed.items() if c[0] != "end"})
+
+
 def test_cache_refuses_buckets_above_the_expiry(spark):
     rows = spark.createDataFrame([("a", START, 1)], "key string, at timestamp, id bigint")
     with pytest.raises(ValueError):

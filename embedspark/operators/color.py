@@ -284,7 +284,7 @@ def assemble_statistics(
     scale = 255.0 if twin else 1.0
     totals = image_totals(histogram, first_seen=twin)
     chosen = F.coalesce(method if method is not None else F.lit(None).cast("string"), F.lit(default_method))
-    joined = images.withColumn("method", chosen).join(totals, "image_id", "left")
+    joined = images.withColumn("method", chosen).join(totals.hint("merge"), "image_id", "left")
     present = F.col("valid").isNotNull()
     colors = F.struct(
         average_color(F.col("method"), scale, twin).alias("avg_color"),

@@ -59,7 +59,8 @@ def runs(spark, sf_dir):
             stats.dominant_color(twin).alias("dominant_color"),
         )
         present = F.col("valid").isNotNull() & ~lacking
-        return tasks.join(totals, "image_id", "left").select(
+        # A row per image: too much to broadcast, whatever the size of the table they are counted from.
+        return tasks.join(totals.hint("merge"), "image_id", "left").select(
             "image_id", "method", F.when(present, colors).alias("color_data")
         )
 

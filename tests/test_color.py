@@ -229,3 +229,18 @@ def test_key_ranks_never_broadcasts_the_histogram(spark):
     found = ops.key_ranks(histogram, asked)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert [(r["cnt"], r["rank"], r["exists"]) for r in found.collect()] == [(1, 2, True)]
+
+
+def test_compared_runs_never_broadcast_their_totals(spark, sf_dir):
+    from embedspark.plans import color_qa
+
+    plan = color_qa.compared(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" in plan
+
+
+def test_spread_gives_more_tasks_to_more_rows(spark):
+    from embedspark.plans.fixtures import spread
+
+    few, many = spark.range(10), spark.range(16384 * 20)
+    assert spread(few, "id").rdd.getNumPartitions() < spread(many, "id").rdd.getNumPartitions() == 20
+    assert spread(few, "id", rows=16384 * 30).rdd.getNumPartitions() == 30

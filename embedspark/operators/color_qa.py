@@ -38,10 +38,11 @@ def missing_side(left: Column, right: Column) -> Column:
 def compare_runs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full join of two runs (keys, color_data) with error and warning columns.
 
-    Average differences fail a comparison, dominant differences only warn, a one-sided result fails.
+    Average differences fail a comparison, dominant differences only warn, a one-sided result fails. A filter behind it
+    may make the join an inner one, which must not broadcast a run either.
     """
     both = left.select(*keys, F.col("color_data").alias("left")).join(
-        right.select(*keys, F.col("color_data").alias("right")), keys, "full"
+        right.select(*keys, F.col("color_data").alias("right")).hint("merge"), keys, "full"
     )
     a, b = F.col("left"), F.col("right")
     averages = channel_errors(a["avg_color"]["rgb"], b["avg_color"]["rgb"], AVERAGE_TOLERANCE)

@@ -29,14 +29,20 @@ def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+#: Rows that one task lets grow.
+_ROWS_PER_TASK = 16384
+
+
+def spread(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     """Small rows spread by key before they grow (to pixels, to pictures).
 
     The number of partitions is given, because adaptive execution would otherwise see how small the
-    rows are, merge them into one partition and leave the growing to one task.
+    rows are, merge them into one partition and leave the growing to one task. It grows with the number of ``rows``
+    (counted here if not given), so that what a task holds does not.
     """
     spark = df.sparkSession
-    count = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    needed = -(-(df.count() if rows is None else rows) // _ROWS_PER_TASK)
+    count = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), needed)
     return df.repartition(count, key)
 
 

@@ -234,8 +234,9 @@ def test_key_ranks_never_broadcasts_the_histogram(spark):
 def test_compared_runs_never_broadcast_their_totals(spark, sf_dir):
     from embedspark.plans import color_qa
 
-    plan = color_qa.compared(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" not in plan and "Join" in plan
+    for made in (color_qa.compared, color_qa.results_of_both):
+        plan = made(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Join" in plan
 
 
 def test_spread_gives_more_tasks_to_more_rows(spark):

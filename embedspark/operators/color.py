@@ -20,6 +20,7 @@ from embedspark.functions import color as fn
 from embedspark.functions.resample import resize, to_bytes
 
 CHANNELS = ("r", "g", "b")
+_IMAGES_PER_BATCH = 64
 
 
 def thumbnail_size(w: Column, h: Column, limit: int = THUMBNAIL_SIZE) -> tuple[Column, Column]:
@@ -176,17 +177,19 @@ def packed_histogram(images: DataFrame, image: str = "image_id", limit: int | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, parts = [], []
-            for row in batch.to_pylist():
-                if row["data"] is not None:
-                    parts.append(clusters(shrunk(**{c: row[c] for c in shape}), row["channels"]))
-                    keys += [row[image]] * len(parts[-1][0])
-            if keys:
-                columns = [np.concatenate(part) for part in zip(*parts)]
-                arrays = [pa.array(keys, batch.schema.field(image).type), *map(pa.array, columns)]
-                names = [image, "key", "cnt", "first_pixel"]
-                names += [f"{part}_{c}" for c in CHANNELS for part in ("sum", "log")]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+            # Clusters of a picture may have many times its bytes, so few pictures are held at a time.
+            for start in range(0, batch.num_rows, _IMAGES_PER_BATCH):
+                keys, parts = [], []
+                for row in batch.slice(start, _IMAGES_PER_BATCH).to_pylist():
+                    if row["data"] is not None:
+                        parts.append(clusters(shrunk(**{c: row[c] for c in shape}), row["channels"]))
+                        keys += [row[image]] * len(parts[-1][0])
+                if keys:
+                    columns = [np.concatenate(part) for part in zip(*parts)]
+                    arrays = [pa.array(keys, batch.schema.field(image).type), *map(pa.array, columns)]
+                    names = [image, "key", "cnt", "first_pixel"]
+                    names += [f"{part}_{c}" for c in CHANNELS for part in ("sum", "log")]
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return images.select(image, *shape).mapInArrow(run, schema)
 

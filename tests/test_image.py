@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,3 +335,20 @@ def test_pictures_of_all_sizes_and_filters_are_undone_together():
         assert (got["h"], got["w"], got["channels"]) == p.shape and got["data"] == p.tobytes() and got["error"] is None
     assert all(got["error"].startswith("Failed to decode image") for got in found[60:])
     assert sum(calls) == 24 and len(calls) <= 4
+
+
+def test_clusters_of_few_pictures_are_held_at_a_time(spark):
+    class Caught:
+        schema = spark.createDataFrame([], PACKED).schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    run = color.packed_histogram(Caught())
+    rows = [{"image_id": i, "w": 8, "h": 9, "channels": 4, "data": picture(i, 8, 9).tobytes()} for i in range(1, 150)]
+    found = list(run(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert len(found) == 3 and max(len(set(b.column(0).to_pylist())) for b in found) <= 64
+    assert {k for b in found for k in b.column(0).to_pylist()} == set(range(1, 150)) - {50, 100}

@@ -18,7 +18,7 @@ from embedspark.constants import DEFAULT_DIM, SPECIAL_TOKENS, ZERO_NORM
 from embedspark.functions.arrow import blocks, float_lists, list_lengths, once_per_row
 from embedspark.functions.text import signed_slots, token_count, tokens
 
-_ROWS_PER_BLOCK = 2048
+_ROWS_PER_BLOCK = 512
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -29,22 +29,24 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def _hashed_vectors(width: int, dim: int, normalize: bool):
-    @F.arrow_udf("array<float>")
-    def encode(codes: pa.Array) -> pa.Array:
-        parts = []
-        for first in range(0, max(len(codes), 1), _ROWS_PER_BLOCK):
-            chunk = codes.slice(first, _ROWS_PER_BLOCK)
-            lengths = np.maximum(list_lengths(chunk), 0)
-            flat = chunk.flatten().to_numpy(zero_copy_only=False).astype("i8")
-            cell = np.repeat(np.arange(len(chunk)), lengths) * width + np.abs(flat) - 1
-            sums = np.bincount(cell, weights=np.sign(flat), minlength=len(chunk) * width)
-            pooled = sums.reshape(len(chunk), width) / (lengths + SPECIAL_TOKENS)[:, None]
-            parts.append((unit_rows(pooled) if normalize else pooled)[:, :dim])
-        vectors = float_lists(np.concatenate(parts))
-        if codes.null_count:  # no text, no vector
-            vectors = pa.ListArray.from_arrays(vectors.offsets, vectors.values, mask=codes.is_null())
+    def vectors_of(chunk: pa.Array) -> pa.Array:
+        lengths = np.maximum(list_lengths(chunk), 0)
+        flat = chunk.flatten().to_numpy(zero_copy_only=False).astype("i8", copy=False)
+        cell = np.repeat(np.arange(len(chunk)), lengths) * width + np.abs(flat) - 1
+        sums = np.bincount(cell, weights=np.sign(flat), minlength=len(chunk) * width)
+        pooled = sums.reshape(len(chunk), width) / (lengths + SPECIAL_TOKENS)[:, None]
+        vectors = float_lists((unit_rows(pooled) if normalize else pooled)[:, :dim])
+        if chunk.null_count:  # no text, no vector
+            vectors = pa.ListArray.from_arrays(vectors.offsets, vectors.values, mask=chunk.is_null())
         return vectors
 
+    @F.arrow_udf("array<float>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # Blocks leave one by one: a worker holds the vectors and the token cells of one block, not of a batch.
+        for codes in batches:
+            for first in range(0, len(codes), _ROWS_PER_BLOCK):
+                yield vectors_of(codes.slice(first, _ROWS_PER_BLOCK))
+
     return once_per_row(encode)
 
 

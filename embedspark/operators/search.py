@@ -42,7 +42,9 @@ def _rows_at_once(n_queries: int) -> int:
 
 def _candidates(q_ids, q, c_ids, c, k, digits):
     """Top k of every query among one corpus block, ties at the border included."""
-    scores = np.round(q @ c.T, digits) + 0.0
+    scores = q @ c.T
+    np.round(scores, digits, out=scores)
+    scores += 0.0
     if scores.shape[1] > k:
         border = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
         query, item = np.nonzero(scores >= border[:, None])

@@ -126,3 +126,17 @@ def test_content_rules(spark):
     assert got[4] == ("data_url", b"hi", 200)
     assert got[5] == ("data_url", None, 400)
     assert got[6] == ("base64", b"hi", 200) and got[7] == ("base64", None, 400)
+
+
+def test_text_vectors_leave_in_blocks():
+    import pyarrow as pa
+
+    from embedspark.operators import encoders
+
+    codes = [None if i % 100 == 7 else [1 + i % 8, -(1 + i % 3)] for i in range(1100)]
+    found = list(encoders._hashed_vectors(8, 8, False).func(iter([pa.array(codes, pa.list_(pa.int64()))])))
+    assert [len(block) for block in found] == [512, 512, 76]
+    rows = [row for block in found for row in block.to_pylist()]
+    for code, row in zip(codes, rows):
+        assert (row is None) == (code is None)
+    assert rows[0] == [0.0] * 8 and rows[1][1] == -0.25 + 0.25 and rows[3][3] == 0.25 and rows[3][0] == -0.25

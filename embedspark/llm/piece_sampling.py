@@ -73,11 +73,25 @@ class Vocabulary:
         self._next = np.array([edges[k] for k in self._keys.tolist()], "i8")
         self.piece_at = np.full(len(edges) + 1, -1, "i8")
         self.piece_at[list(pieces)] = list(pieces.values())
+        # Where a key stands: by a table of hashes, or by search where several keys share a slot (-2).
+        self._shift = np.uint64(64 - (8 * len(edges)).bit_length())
+        self._table = np.full(1 << (8 * len(edges)).bit_length(), -1, "i4")
+        slots = self._slot(self._keys)
+        self._table[slots] = np.arange(len(slots))
+        taken, times = np.unique(slots, return_counts=True)
+        self._table[taken[times > 1]] = -2
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view("u8") * _STEP) >> self._shift).view("i8")
 
     def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The nodes that the characters lead to; 0 where there is none."""
         key = node << 21 | code
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        at = self._table[self._slot(key)]
+        shared = np.flatnonzero(at == -2)
+        if len(shared):
+            at[shared] = np.minimum(np.searchsorted(self._keys, key[shared]), len(self._keys) - 1)
+        at = np.maximum(at, 0)
         return np.where(self._keys[at] == key, self._next[at], 0)
 
 
@@ -125,7 +139,9 @@ class _Lattice:
         weights = np.where(ids >= 0, v.weight[np.maximum(ids, 0)], 1e-6)
         ends, froms = place[froms] + lengths, state[froms]
         tos = froms + lengths
-        order = np.lexsort((froms, tos, ends))
+        # By place, then state, then length: one number, which no two edges share, sorts far faster than three.
+        longest = int(lengths.max(initial=0)) + 1
+        order = np.argsort((ends * (int(self.size.sum()) + len(words)) + tos) * longest - lengths)
         self.froms, self.ids, tos, ends = froms[order], ids[order], tos[order], ends[order]
         self.first = np.flatnonzero(np.diff(tos, prepend=-1))
         self.group = np.zeros(int(self.size.sum()) + len(words), "i8")

@@ -95,45 +95,69 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     )
 
 
-#: Where a unit ends: at the end of a line, or after a sentence's last character.
-_UNIT_END = re.compile(r"\n|(?<=[.!?])[^\S\n]+|(?<=[。！？])")
+#: Where a unit ends: at the end of a line, or after a sentence's last character. It starts with one set of characters, for
+#: which texts are searched far faster than for places behind a character.
+_UNIT_END = re.compile(r"[\n.!?。！？](?:(?<=[.!?])[^\S\n]+|(?<![.!?]))")
+
+
+def _pieces(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the units, with or without a word."""
+    start = 0
+    for found in _UNIT_END.finditer(text):
+        end, after = found.span()
+        yield start, end + (text[end] != "\n")
+        start = after
+    yield start, len(text)
 
 
 def sentence_units(text: str) -> list[tuple[int, int]]:
     """Start and end (characters) of the units that hold a word."""
-    ends = [m.span() for m in _UNIT_END.finditer(text)] + [(len(text), len(text))]
-    starts = [0, *[after for _, after in ends[:-1]]]
-    return [(start, end) for start, (end, _) in zip(starts, ends) if text[start:end].strip()]
+    return [(start, end) for start, end in _pieces(text) if text[start:end].strip()]
 
 
 def passages(lengths: list[int], min_words: int) -> list[tuple[int, int]]:
     """First and last unit of all shortest runs of units that hold so many words."""
+    return list(zip(*(ends.tolist() for ends in _runs(lengths, min_words))))
+
+
+def _runs(lengths: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray]:
     total = np.concatenate([[0], np.cumsum(np.array(lengths, "i8"))])
     n = len(lengths)
     first = np.arange(n)
     last = np.searchsorted(total, total[:-1] + min_words) - 1  # from each first unit on
-    forward = np.stack([first, last], axis=1)[last < n]
+    forward = (first << 32 | last)[last < n]
     start = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # back from each last unit
-    back = np.stack([start, first], axis=1)[start >= 0]
-    return [tuple(run) for run in np.unique(np.concatenate([forward, back]), axis=0).tolist()]
+    back = (start << 32 | first)[start >= 0]
+    both = np.unique(np.concatenate([forward, back]))
+    return both >> 32, both & 0xFFFFFFFF
 
 
 def _passages(min_words: int):
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["key", "tie", "unit", "units", "digest"]
+    names, md5 = ["key", "tie", "unit", "units", "digest"], hashlib.md5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                rows = []
-                for key, tie, text in zip(*[part.column(c).to_pylist() for c in ("key", "tie", "text")]):
-                    words = [text[start:end].lower().split() for start, end in sentence_units(text or "")]
+                owner, firsts, counts, digests = [], [], [], []
+                for row, value in enumerate(part.column("text").to_pylist()):
+                    text = value or ""
+                    # Units without a word fall away here as in sentence_units.
+                    words = [own for start, end in _pieces(text) if (own := text[start:end].lower().split())]
+                    if not words:
+                        continue
                     joined = [" ".join(own).encode("utf-8", "surrogatepass") for own in words]
-                    for first, last in passages([len(own) for own in words], min_words):
-                        digest = hashlib.md5(b" ".join(joined[first : last + 1])).digest()
-                        rows.append((key, tie, first, last - first + 1, digest))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    first, last = _runs(list(map(len, words)), min_words)
+                    whole, size = memoryview(b" ".join(joined)), np.fromiter(map(len, joined), "i8", len(joined))
+                    end = np.cumsum(size + 1) - 1
+                    digests += [md5(whole[x:y]).digest() for x, y in zip((end - size)[first].tolist(), end[last].tolist())]
+                    owner.append(np.full(len(first), row))
+                    firsts.append(first)
+                    counts.append(last - first + 1)
+                if digests:
+                    at = pa.array(np.concatenate(owner))
+                    columns = [part.column(c).take(at) for c in ("key", "tie")]
+                    columns += [pa.array(np.concatenate(c).astype("i4")) for c in (firsts, counts)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary())], names=names)
 
     return frugal(run)
 

@@ -562,3 +562,30 @@ def test_nearest(spark):
 
 def test_every_operator_has_one_query():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
+
+
+def test_units_end_as_before_and_are_found_by_one_set_of_characters():
+    import re
+
+    from embedspark.llm import line_dedup
+
+    slow = re.compile(r"\n|(?<=[.!?])[^\S\n]+|(?<=[。！？])")
+    text = "One. Two!? 3.14 x.\n\nA。。B！\nlast . \t end.\r\n . "
+    spans = [m.span() for m in slow.finditer(text)] + [(len(text), len(text))]
+    want = [(a, b) for a, (b, _) in zip([0, *[after for _, after in spans[:-1]]], spans) if text[a:b].strip()]
+    assert line_dedup.sentence_units(text) == want
+    assert line_dedup._UNIT_END.pattern.startswith("[")
+
+
+def test_pieces_are_found_by_table_and_by_search(monkeypatch):
+    from embedspark.llm.piece_sampling import Vocabulary
+
+    v = object.__new__(Vocabulary)
+    v.of_text = {text: i for i, text in enumerate(["a", "ab", "abc", "b", " a", "日本"])}
+    v._index()
+    for same_slot in (False, True):
+        if same_slot:
+            v._table[:] = -2
+        node = v.step(np.zeros(5, "i8"), np.array([ord(c) for c in "ab 日x"], "i8"))
+        assert v.piece_at[node].tolist() == [0, 3, -1, -1, -1] and node[4] == 0 and (node[:4] > 0).all()
+        assert v.piece_at[v.step(node[:1], np.array([ord("b")], "i8"))].tolist() == [1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from embedspark.constants import DEFAULT_DIM
 from embedspark.functions import vectors
@@ -134,7 +134,8 @@ FROM kept k JOIN counts c USING (doc_id) GROUP BY k.doc_id, slot""",
 )
 def masked_mean_pool(spark, sf_dir):
     """Long form of the pool: every third token is masked out."""
-    words = ops.hashed_tokens(wide_table(spark, sf_dir, "documents"), ["doc_id"], "text").select(
+    documents = wide_table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    words = ops.hashed_tokens(documents, ["doc_id"], "text").select(
         "doc_id",
         hash_slot(F.col("hash"), 64).alias("slot"),
         hash_sign(F.col("hash")).alias("sign"),
@@ -143,10 +144,9 @@ def masked_mean_pool(spark, sf_dir):
     sums = words.where("mask > 0").groupBy("doc_id", "slot").agg(
         F.sum("sign").alias("total"), F.count("*").alias("n")
     )
-    counts = sums.groupBy("doc_id").agg(F.sum("n").alias("token_count"))
-    return sums.join(counts, "doc_id").select(
-        "doc_id", "slot", r6(F.col("total") / F.col("token_count")).alias("value")
-    )
+    # A document has at most 64 rows by now. Joining their sum back would hash all tokens a second time.
+    token_count = F.sum("n").over(Window.partitionBy("doc_id"))
+    return sums.select("doc_id", "slot", r6(F.col("total") / token_count).alias("value"))
 
 
 # Model outputs of five shapes, made from the embeddings: one vector, two forms of one row, four

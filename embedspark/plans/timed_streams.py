@@ -22,7 +22,7 @@ parted AS (SELECT *, CASE WHEN request_id % 97 = 0 AND due < 2 THEN {SLICES - 1}
 
 
 def arriving(spark, sf_dir):
-    """The request log cut into its arrivals."""
+    """The request log cut into its arrivals, by one read of it: each arrival is a folder of its own."""
     events = table(spark, sf_dir, "events")
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     log = request_columns(events, "user_id")
@@ -32,8 +32,11 @@ def arriving(spark, sf_dir):
         return [log]
     due = F.expr(f"({SLICES} * (unix_micros(started_at) - {low})) div {high - low + 1}")
     late = (F.col("request_id") % 97 == 0) & (due < 2)
-    arrival = F.when(late, SLICES - 1).otherwise(due)
-    return [log.where(at.isNotNull() & (arrival == number)) for number in range(SLICES)]
+    arrival = F.when(late, SLICES - 1).otherwise(due).cast("int")
+    parted, folder = log.where(at.isNotNull()).withColumn("arrival", arrival), shared_folder(spark)
+    parted.write.partitionBy("arrival").parquet(folder)
+    stored = spark.read.schema(parted.schema).parquet(folder)
+    return [stored.where(F.col("arrival") == number).drop("arrival") for number in range(SLICES)]
 
 
 def bucket_end(us: str) -> str:

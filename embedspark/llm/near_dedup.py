@@ -7,14 +7,16 @@ probability of their probability Jaccard similarity (for texts that repeat no sh
 similarity). Points later than the moment at which all registers are filled cannot matter, so the
 processes stop there.
 
-*Banding.* Registers are cut into bands of ``ROWS``; texts that agree in a band meet. A pair with
-similarity 0.8 misses all bands with probability 3e-5.
+*Banding.* Of a register only the lowest byte of its shingle's hash is kept. Different shingles agree in it
+once in 256, which can only add pairs to be compared. Registers are cut into bands of ``ROWS``; texts that
+agree in a band meet. A pair with similarity 0.8 misses all bands with probability 3e-5.
 
 *Verification.* Met pairs whose registers agree often enough are compared exactly. First only the
 strongest pairs that hold a band's members together are compared, and the links found give
 components. Then every bucket that still holds several components compares all its pairs between
 components inside one task, where a link joins its components at once. So a bucket sends on less than
-one pair for each member however alike its texts are, yet no met pair between components is left out.
+one pair for each member however alike its texts are, yet no met pair between components is left out. Only the
+members that agree often enough with one of another component are given their texts for that.
 
 Texts with equal words are one text from the start. Large buckets are cut into blocks, by members and by
 characters, and every pair of blocks is a cell, so no task gets more than two blocks.
@@ -33,6 +35,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,8 @@ SIMILARITY = 0.8
 SHINGLE = 5
 ROWS, BANDS = 5, 26
 REGISTERS = ROWS * BANDS
+#: A band's key is its registers times this, plus its number.
+_BAND_ROOM = 32
 BLOCK, BLOCK_CHARS = 512, 16 << 20
 #: Hash buckets that spare texts a shuffle: a broadcast of at most so many numbers.
 _FILTER = 1 << 20
@@ -114,31 +119,36 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sign():
-    names = ["row", "digest", "size", "bands", "registers"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    names = ["row", "digest", "size", "registers"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = mix64(np.arange(1, BANDS + 1, dtype="u8"))
         for batch in batches:
             for part in text_slices(batch, "text"):
                 rows = []
                 for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist()):
                     words = (text or "").split()
                     if not words:
-                        rows.append((row, None, None, None, None))
+                        rows.append((row, None, None, None))
                         continue
                     digest = hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()
-                    own = signature(*shingles(words))
-                    bands = number.copy()
-                    for k in range(ROWS):
-                        bands = mix64(bands * _STEP + own.reshape(BANDS, ROWS)[:, k])
-                    rows.append((row, digest, len(text), bands.view("i8"), own.astype("<u4").tobytes()))
+                    rows.append((row, digest, len(text), signature(*shingles(words)).astype("u1").tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return frugal(run)
 
 
+def _bands() -> Column:
+    """The keys of all bands of a text."""
+
+    def key(number: Column) -> Column:
+        own = F.substr("registers", number * ROWS + 1, F.lit(ROWS))
+        return F.conv(F.hex(own), 16, 10).cast("bigint") * _BAND_ROOM + number
+
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)
+
+
 def _agreement(registers: np.ndarray, i: np.ndarray | slice) -> np.ndarray:
     """Equal registers of some rows with all rows."""
     return registers[i][:, None, :] == registers[None, :, :]
@@ -153,7 +163,7 @@ def _cell_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, n
             if end - start > 1:
                 part = rows.slice(start, end - start)
                 nodes = np.asarray(part.column("node").combine_chunks())
-                registers = np.frombuffer(b"".join(part.column("registers").to_pylist()), "<u4").reshape(-1, REGISTERS)
+                registers = np.frombuffer(b"".join(part.column("registers").to_pylist()), "u1").reshape(-1, REGISTERS)
                 yield part, nodes, registers
 
 
@@ -192,34 +202,45 @@ def _strong_pairs():
     return frugal(run)
 
 
+def _candidates(cell: pa.Table, registers: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Pairs of a cell's rows of different components, those that agree most first."""
+    sides = np.asarray(cell.column("side").combine_chunks())
+    low, high, band = (int(cell.column(c)[0].as_py()) for c in ("i", "j", "number"))
+    every, found, shares = np.arange(len(labels)), [], []
+    for own in _row_blocks(len(labels)):
+        equal = _agreement(registers, own)
+        share = equal.mean(2)
+        good = (share >= LEAST_AGREEMENT) & (labels[own][:, None] != labels[None, :])
+        if low == high:
+            good &= own[:, None] < every[None, :]
+        else:
+            good &= (sides[own] == low)[:, None] & (sides == high)[None, :]
+        r, c = np.nonzero(good)
+        # Of all bands in which two rows meet, the first one compares them.
+        here = equal[r, c].reshape(len(r), BANDS, ROWS).all(2).argmax(1) == band
+        found.append(np.stack([own[r[here]], c[here]], axis=1))
+        shares.append(share[r[here], c[here]])
+    return np.concatenate(found)[np.argsort(-np.concatenate(shares), kind="stable")]
+
+
+def _likely():
+    """The rows of a cell that are in a candidate pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, _, registers in _cell_parts(batches):
+            pairs = _candidates(cell, registers, np.asarray(cell.column("label").combine_chunks()))
+            if len(pairs):
+                yield from cell.take(pa.array(np.unique(pairs))).to_batches()
+
+    return frugal(run)
+
+
 def _links_across():
     """Links between a cell's components, compared exactly: less than one for each component."""
 
-    def candidates(cell: pa.Table, registers: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        """Pairs of rows of different components, those that agree most first."""
-        sides = np.asarray(cell.column("side").combine_chunks())
-        low, high, band = (int(cell.column(c)[0].as_py()) for c in ("i", "j", "number"))
-        every, found, shares = np.arange(len(labels)), [], []
-        for own in _row_blocks(len(labels)):
-            equal = _agreement(registers, own)
-            share = equal.mean(2)
-            good = (share >= LEAST_AGREEMENT) & (labels[own][:, None] != labels[None, :])
-            if low == high:
-                good &= own[:, None] < every[None, :]
-            else:
-                good &= (sides[own] == low)[:, None] & (sides == high)[None, :]
-            r, c = np.nonzero(good)
-            # Of all bands in which two rows meet, the first one compares them.
-            here = equal[r, c].reshape(len(r), BANDS, ROWS).all(2).argmax(1) == band
-            found.append(np.stack([own[r[here]], c[here]], axis=1))
-            shares.append(share[r[here], c[here]])
-        return np.concatenate(found)[np.argsort(-np.concatenate(shares), kind="stable")]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, nodes, registers in _cell_parts(batches):
             names, labels = np.unique(np.asarray(cell.column("label").combine_chunks()), return_inverse=True)
-            if len(names) == 1:
-                continue
             parent, found, texts = list(range(len(names))), [], cell.column("text")
 
             def top(label: int) -> int:
@@ -228,7 +249,7 @@ def _links_across():
                 return label
 
             of = cache(lambda row: shingles(texts[row].as_py().split()))
-            for i, j in candidates(cell, registers, labels).tolist():
+            for i, j in _candidates(cell, registers, labels).tolist():
                 one, other = top(labels[i]), top(labels[j])
                 if one != other and similarity(of(i), of(j)) >= SIMILARITY - 1e-12:
                     parent[one] = other
@@ -239,25 +260,32 @@ def _links_across():
 
 
 def _verify():
+    """The pairs that are similar enough; the two rows of a pair follow each other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lru_cache(maxsize=64)(lambda text: shingles(text.split()))
-        for batch in batches:
-            for part in text_slices(batch, "text_a"):
-                good = [
-                    similarity(of(x.as_py()), of(y.as_py())) >= SIMILARITY - 1e-12
-                    for x, y in zip(part.column("text_a"), part.column("text_b"))
-                ]
-                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        first = None
+        for part in chain.from_iterable(text_slices(batch, "text") for batch in batches):
+            found = []
+            for pair, text in zip(zip(part.column("a").to_pylist(), part.column("b").to_pylist()), part.column("text")):
+                if first is None:
+                    first = text.as_py()
+                    continue
+                if similarity(of(first), of(text.as_py())) >= SIMILARITY - 1e-12:
+                    found.append(pair)
+                first = None
+            if found:
+                yield _pair_batch(found)
 
     return frugal(run)
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs that are similar enough, compared by their texts."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
-    )
-    return written(both.mapInArrow(_verify(), "a bigint, b bigint"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row"), "a", "b")
+    near, _ = near_rows(rows, ends, "row", _FILTER)
+    sides = near.join(ends, "row").repartition("a", "b").sortWithinPartitions("a", "b", "row")
+    return written(sides.select("a", "b", "text").mapInArrow(_verify(), "a bigint, b bigint"))
 
 
 def _place() -> Column:
@@ -271,16 +299,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return written(docs.select(every.alias("doc"), F.monotonically_increasing_id().alias("row")), codec="zstd")
 
 
-def _classes(numbered: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per numbered row: row, key, first (place of the first row of its class)."""
-    rows = numbered.select("row", F.col("doc")[text].alias("text"))
-    signed = written(rows.mapInArrow(_sign(), "row bigint, digest binary, size bigint, bands array<bigint>, registers binary"))
-    digests = signed.where("digest is not null").select("row", "digest")
-    # A node is a text: it is named by the smallest row number that has it.
-    firsts = written(digests.groupBy("digest").agg(F.min("row").alias("node")))
-    nodes = signed.join(firsts.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-
-    met = nodes.select("node", "size", F.posexplode("bands").alias("number", "band"))
+def _labels(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, label: every linked text with the smallest node of its class."""
+    met = nodes.select("node", "size", F.explode(_bands()).alias("band"))
     sizes = met.groupBy("band").agg(F.count("*").alias("members"), F.sum("size").alias("chars")).where("members > 1")
     members = written(met.drop("size").join(sizes, "band"))
     registers = written(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "registers"))
@@ -290,27 +311,42 @@ def _classes(numbered: DataFrame, key: str, text: str) -> DataFrame:
     celled = (
         members.withColumns({"side": side, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
         .withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
-        .withColumn("cell", F.xxhash64("band", "i", "j"))
+        .withColumns({"cell": F.xxhash64("band", "i", "j"), "number": (F.col("band") % _BAND_ROOM).cast("int")})
         .select("cell", "number", "i", "j", "side", "node")
     )
     cells = celled.select("cell", "node").join(registers, "node").select("cell", "node", "registers")
     strong = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_strong_pairs(), "a bigint, b bigint")
     strong = written(strong.distinct())
     # Who is in no strong pair agrees nowhere often enough, so these texts are all that is compared.
-    ends = written(strong.select(F.col("a").alias("row")).union(strong.select("b")).distinct())
-    near, _ = near_rows(rows, ends, "row", _FILTER)
-    texts = written(near.join(ends, "row", "left_semi").withColumnRenamed("row", "node"))
-    links = _links(strong, texts)
+    ends = written(strong.select(F.col("a").alias("node")).union(strong.select("b")).distinct())
+    links = _links(strong, rows)
     labels = components(links)
 
-    named = celled.join(ends.select(F.col("row").alias("node")), "node", "left_semi")
+    named = celled.join(ends, "node", "left_semi")
     named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = named.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    rest = named.join(written(open_.select("cell")), "cell").join(registers, "node").join(texts, "node")
-    more = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links_across(), "a bigint, b bigint")
+    rest = named.join(written(open_.select("cell")), "cell").join(registers, "node")
+    rest = rest.select("cell", "number", "i", "j", "side", "node", "label", "registers")
+    kinds = "cell bigint, number int, i int, j int, side int, node bigint, label bigint, registers binary"
+    likely = written(rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(_likely(), kinds))
+    near, _ = near_rows(rows, likely.select(F.col("node").alias("row")), "row", _FILTER)
+    texts = likely.join(near.withColumnRenamed("row", "node"), "node")
+    more = texts.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links_across(), "a bigint, b bigint")
     more = written(more.distinct())
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    return labels if more.isEmpty() else components(links.union(more))
+
+
+def _classes(numbered: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per numbered row: row, key, first (place of the first row of its class)."""
+    rows = numbered.select("row", F.col("doc")[text].alias("text"))
+    signed = written(rows.mapInArrow(_sign(), "row bigint, digest binary, size bigint, registers binary"))
+    digests = signed.where("digest is not null").select("row", "digest")
+    # A node is a text: it is named by the smallest row number that has it.
+    firsts = written(digests.groupBy("digest").agg(F.min("row").alias("node")))
+    with recording() as folders:
+        nodes = signed.join(firsts.select(F.col("node").alias("row")), "row", "left_semi")
+        labels = _labels(written(nodes.select(F.col("row").alias("node"), "size", "registers")), rows)
+    discard(numbered.sparkSession, folders, keep=(labels,))
 
     names = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     own_key, own_text = F.col("doc")[key], F.col("doc")[text]

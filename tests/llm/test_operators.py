@@ -2,16 +2,19 @@
 
 import hashlib
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from embedspark.llm import (
     classifier,
+    common,
     line_dedup,
     near_dedup,
     nearest,
@@ -514,6 +517,37 @@ def test_near_duplicates_in_a_group_below_the_threshold(spark, monkeypatch, bloc
     assert {r["doc_id"]: r["class_id"] for r in found} == dict(enumerate(label))
 
 
+def test_near_duplicates_keep_little_on_disk(spark):
+    """A text's registers take a byte each, and tables that the result does not read are deleted before it is read."""
+    random = np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in random.integers(0, 10**6, 120)) for _ in range(40)]
+    texts += [t + " more" for t in texts[:10]] + texts[:5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with common.recording() as folders:
+        found = near_dedup.near_duplicates(docs)
+    left = [spark.read.parquet(f) for f in folders if os.path.isdir(f)]
+    assert len(left) == 5 < len(folders)  # numbered rows, signed texts, firsts, labels and places
+    signed = next(t for t in left if "registers" in t.columns)
+    sizes = [sum(len(v) * 8 if isinstance(v, list) else len(v) for v in r if hasattr(v, "__len__")) for r in signed.collect()]
+    assert set(sizes) == {16 + near_dedup.REGISTERS}
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == {k: texts.index(t.removesuffix(" more")) for k, t in enumerate(texts)}
+
+
+def test_only_rows_with_a_candidate_get_their_texts():
+    random = np.random.default_rng(7)
+    registers = random.integers(0, 256, (6, near_dedup.REGISTERS)).astype("u1")
+    registers[3] = registers[0]  # alike, but of one component
+    registers[5], registers[5, -4:] = registers[1], 0  # alike, of two components, and together in the first band
+    registers[4], registers[4, :5] = registers[2], 1  # alike, of two components, but not together in the first band
+    labels = [10, 11, 12, 10, 14, 15]
+    ones = pa.array([0] * 6, pa.int32())
+    cell = pa.RecordBatch.from_arrays(
+        [pa.array([9] * 6), ones, ones, ones, ones, pa.array(range(6)), pa.array(labels), pa.array([r.tobytes() for r in registers])],
+        names=["cell", "number", "i", "j", "side", "node", "label", "registers"],
+    )
+    assert [r["node"] for b in near_dedup._likely()(iter([cell])) for r in b.to_pylist()] == [1, 5]
+
+
 def test_keep_first_passes_any_columns_on(spark):
     names = ["doc_id", "text", "_row", "row", "doc", "_bucket", "a.b", "with blank", "back`tick"]
     rows = [(k, "one two three four five six" if k < 2 else None, 70 + k, 1, "x", 2, 3, 4, 5) for k in range(3)]

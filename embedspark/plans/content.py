@@ -371,16 +371,24 @@ FROM images i LEFT JOIN fields f ON f.k = i.image_id LEFT JOIN means m ON m.imag
 LEFT JOIN best b ON b.image_id = i.image_id""",
 )
 def stats_rows(spark, sf_dir):
-    """The full answer per image from bytes: metadata and colours, clusters made inside the tasks."""
+    """The full answer per image from bytes: metadata and colours, clusters made inside the tasks.
+
+    Fields of metadata are far larger than the rows of part they are read from, by whose size Spark would broadcast them:
+    only what is asked of them leaves the task, and the join asks for a merge.
+    """
     packed = packed_images(spark, sf_dir)
-    meta = exif.with_exif(metadata_payloads(spark, sf_dir))
+    meta = exif.with_exif(metadata_payloads(spark, sf_dir)).select(
+        "image_id",
+        F.size("exif").alias("fields"),
+        F.try_element_at("exif", F.lit("Make")).alias("make"),
+    )
     colors = packed_statistics(packed)
-    rows = colors.join(meta, "image_id", "left")
+    rows = colors.join(meta.hint("merge"), "image_id", "left")
     average, dominant = F.col("color_data.avg_color"), F.col("color_data.dominant_color")
     return rows.select(
         "image_id",
-        F.coalesce(F.size("exif"), F.lit(0)).cast("bigint").alias("exif_fields"),
-        F.try_element_at("exif", F.lit("Make")).alias("make"),
+        F.coalesce("fields", F.lit(0)).cast("bigint").alias("exif_fields"),
+        "make",
         F.when(F.col("valid_pixels") > 0, F.col("valid_pixels")).alias("valid_pixels"),
         average["hex"].alias("avg_hex"),
         r6(average["rgb"][0], 5).alias("avg_r"),

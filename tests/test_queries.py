@@ -69,3 +69,17 @@ def test_flagship(spark):
     result = __spark_entry__.entry(spark)
     assert result.columns == ["query_id", "rank", "item_id", "score"]
     assert result.count() > 0
+
+
+def test_stats_rows_broadcast_no_metadata(spark, tmp_path):
+    rows = [(k, f"name {k}", f"Brand#{k % 9}", "SMALL", 1 + k % 50, 1.0) for k in range(400)]
+    schema = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/part.parquet")
+    result = catalog.QUERIES["c15_stats_rows"](spark, str(tmp_path))
+    found = result.collect()
+    assert "Broadcast" not in result._jdf.queryExecution().executedPlan().toString()
+    cursor = duckdb.connect().execute(f"create view part as from '{tmp_path}/part.parquet/*.parquet'")
+    cursor = cursor.execute(catalog.ORACLES["c15_stats_rows"])
+    names = [column[0] for column in cursor.description]
+    assert rows_of(names, [row.asDict() for row in found]) == rows_of(names, [dict(zip(names, row)) for row in cursor.fetchall()])
+    assert {r["exif_fields"] for r in found if r["image_id"] % 7 == 0} == {0}

@@ -352,3 +352,21 @@ def test_clusters_of_few_pictures_are_held_at_a_time(spark):
     found = list(run(iter([pa.RecordBatch.from_pylist(rows)])))
     assert len(found) == 3 and max(len(set(b.column(0).to_pylist())) for b in found) <= 64
     assert {k for b in found for k in b.column(0).to_pylist()} == set(range(1, 150)) - {50, 100}
+
+
+def test_folders_are_decoded_in_turn(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        path = tmp_path / "in" / str(i % 4) / f"{i}.png"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(png_bytes(picture(i, 9 + i, 12), i % 5) if i != 13 else b"no picture")
+    asked, whole = [], images.decoded_files
+    monkeypatch.setattr(images, "decoded_files", lambda s, path: asked.append(path) or whole(s, path))
+    listings = spark.conf.get(images._LISTINGS)
+    found = images.decoded_in_turn(spark, str(tmp_path / "in"), lambda df: df)
+    rows = {r["path"].rpartition("/")[2]: r for r in found.collect()}
+    assert asked == [str(tmp_path / "in" / str(k)) for k in range(4)]
+    assert len(rows) == 30 and rows.pop("13.png")["error"] and all(r["error"] is None for r in rows.values())
+    for i in set(range(30)) - {13}:
+        row = rows[f"{i}.png"]
+        assert (row["w"], row["h"]) == (9 + i, 12) and bytes(row["data"]) == picture(i, 9 + i, 12).tobytes()
+    assert spark.conf.get(images._LISTINGS) == listings

@@ -7,7 +7,8 @@ import re
 import duckdb
 import pytest
 
-from embedspark.plans import catalog
+from embedspark.plans import catalog, content
+from embedspark.sources import images
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +84,24 @@ def test_stats_rows_broadcast_no_metadata(spark, tmp_path):
     names = [column[0] for column in cursor.description]
     assert rows_of(names, [row.asDict() for row in found]) == rows_of(names, [dict(zip(names, row)) for row in cursor.fetchall()])
     assert {r["exif_fields"] for r in found if r["image_id"] % 7 == 0} == {0}
+
+
+def test_decode_files_lists_few_files_at_once(spark, tmp_path, monkeypatch):
+    rows = [(k, f"name {k}", "Brand#1", "SMALL", 1 + k % 50, 1.0) for k in range(300)]
+    schema = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/part.parquet")
+    counts, whole = [], images.decoded_files
+
+    def listed(*given):
+        files = whole(*given)
+        counts.append(len(files.inputFiles()))
+        return files
+
+    monkeypatch.setattr(images, "decoded_files", listed)
+    monkeypatch.setattr(content, "FILES_PER_FOLDER", 60)
+    found = catalog.QUERIES["s10_decode_files"](spark, str(tmp_path)).collect()
+    assert sum(counts) == 300 and len(counts) == 5 and max(counts) < 120
+    cursor = duckdb.connect().execute(f"create view part as from '{tmp_path}/part.parquet/*.parquet'")
+    cursor = cursor.execute(catalog.ORACLES["s10_decode_files"])
+    names = [column[0] for column in cursor.description]
+    assert rows_of(names, [row.asDict() for row in found]) == rows_of(names, [dict(zip(names, row)) for row in cursor.fetchall()])
